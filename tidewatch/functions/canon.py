@@ -42,13 +42,12 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("0x"), F.sha2(text, 256))
 
 
-def percent(x: Column | str, places: int = 0) -> Column:
-    """A share as percent text, rounded half up."""
-    scaled = F.round(col(x) * 100, places)
-    kind = f"decimal(38,{places})" if places else "bigint"
-    return F.concat(scaled.cast(kind).cast("string"), F.lit("%"))
+def fixed(x: Column | str, places: int) -> Column:
+    """Text with a fixed number of places, halves rounded up."""
+    scale = 10.0 ** places
+    return (F.floor(col(x) * scale + 0.5) / scale).cast(f"decimal(38,{places})").cast("string")
 
 
-def fixed(x: Column | str, places: int) -> Column:
-    kind = f"decimal(38,{places})" if places else "bigint"
-    return F.round(col(x), places).cast(kind).cast("string")
+def percent(x: Column | str, places: int = 0) -> Column:
+    """A share as percent text."""
+    return F.concat(fixed(col(x) * 100, places), F.lit("%"))

@@ -70,9 +70,9 @@ def finite(x: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
-def ewm_mean(df, value: str, out: str, alpha: float, min_rows: int, *keys: str,
-             order: str = "date", block: int = 256):
-    """Exponentially weighted mean without a recursion.
+def ewm_means(df, values: dict[str, str], alpha: float, min_rows: int, *keys: str,
+              order: str = "date", block: int = 256):
+    """Exponentially weighted means without a recursion: ``{out: value}``, NULLs shared by all values.
 
     Unrolled, the mean seeded by the first value is a weighted sum with weights
     (1-alpha)^age. Rows are cut into blocks; inside a block it is a running sum of
@@ -84,18 +84,19 @@ def ewm_mean(df, value: str, out: str, alpha: float, min_rows: int, *keys: str,
     decay = 1.0 - alpha
     if decay ** (2 * block) > 1e-16:
         raise ValueError("block too short for this alpha")
-    n = F.count(col(value)).over(expanding(*keys, order=order))
-    df = df.withColumn("_n", F.when(col(value).isNotNull(), n))
+    known = col(next(iter(values.values()))).isNotNull()
+    df = df.withColumn("_n", F.when(known, F.count(F.when(known, 1)).over(expanding(*keys, order=order))))
     pos = F.col("_n") - 1
-    weighted = (F.when(pos == 0, col(value) / alpha).otherwise(col(value))
-                * F.pow(F.lit(1.0 / decay), pos % block))
-    df = df.withColumn("_blk", F.floor(pos / block)).withColumn("_w", weighted)
     own = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     by_block = Window.partitionBy(*keys).orderBy("_blk")
-    total = F.sum("_w").over(own)
-    for back in (1, 2):
-        earlier = F.sum("_w").over(by_block.rangeBetween(-back, -back))
-        total = total + F.coalesce(earlier, F.lit(0.0)) * decay ** (back * block)
-    mean = F.lit(alpha) * total * F.pow(F.lit(decay), pos % block)
-    return (df.withColumn(out, F.when(F.col("_n") >= min_rows, mean))
-            .drop("_n", "_blk", "_w"))
+    weights = {f"_w_{out}": F.when(pos == 0, col(v) / alpha).otherwise(col(v))
+               * F.pow(F.lit(1.0 / decay), pos % block) for out, v in values.items()}
+    df = df.withColumns({"_blk": F.floor(pos / block), **weights})
+    means = {}
+    for out in values:
+        total = F.sum(f"_w_{out}").over(own)
+        for back in (1, 2):
+            earlier = F.sum(f"_w_{out}").over(by_block.rangeBetween(-back, -back))
+            total = total + F.coalesce(earlier, F.lit(0.0)) * decay ** (back * block)
+        means[out] = F.when(F.col("_n") >= min_rows, F.lit(alpha) * total * F.pow(F.lit(decay), pos % block))
+    return df.withColumns(means).drop("_n", "_blk", *weights)

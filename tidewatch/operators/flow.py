@@ -44,10 +44,14 @@ def nvt(n: int = S.NVT_WINDOW) -> Column:
     return F.ln(ratio("close", full_window(F.avg, "quote_volume", n, trailing(n))))
 
 
-def flow(bars: DataFrame, supply: DataFrame) -> DataFrame:
-    """The input with all five flow columns."""
-    df = align_series(with_flow_raw(bars), supply, "supply")
-    return df.withColumns({
+def with_flow(df: DataFrame) -> DataFrame:
+    """The five flow columns on bars that already carry the aligned ``supply``."""
+    return with_flow_raw(df).withColumns({
         "exchange_netflow_7": exchange_netflow(), "whale_tx_count": whale_z(),
         "active_addresses": activity(), "stablecoin_netflow": supply_change(), "nvt_ratio": nvt(),
     }).drop("taker_net_ratio", "mean_trade_size", "trade_count", "supply")
+
+
+def flow(bars: DataFrame, supply: DataFrame) -> DataFrame:
+    """The input with all five flow columns."""
+    return with_flow(align_series(bars, supply, "supply"))

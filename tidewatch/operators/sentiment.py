@@ -45,17 +45,21 @@ def headline_features(panel: DataFrame, headlines: DataFrame, scorer: Scorer | N
         full_window(F.avg, "negative_share", long, trailing(long)).alias("negative_ratio_7d"))
 
 
-def with_index_sentiment(df: DataFrame, index: DataFrame, long: int = S.SENTIMENT_LONG) -> DataFrame:
-    """Sentiment columns from a 0..100 index, used when there are no headlines.
+def with_index_sentiment(df: DataFrame, long: int = S.SENTIMENT_LONG, index: str = "index") -> DataFrame:
+    """Sentiment columns from an aligned 0..100 index column, used when there are no headlines.
 
     A day without an index value counts as not negative, so the ratio covers more
     days than the polarity. ``headline_count_z`` stays missing.
     """
-    df = align_series(df, index, "_idx").withColumn("_pol", (F.col("_idx") - 50.0) / 50.0)
+    df = df.withColumn("_pol", (F.col(index) - 50.0) / 50.0)
     df = df.withColumn("_neg", F.coalesce(F.col("_pol") < 0, F.lit(False)).cast("double"))
     return df.withColumns({
         "headline_polarity_1d": F.col("_pol"),
         "headline_polarity_7d": full_window(F.avg, "_pol", long, trailing(long)),
         "headline_count_z": F.lit(None).cast("double"),
         "negative_ratio_7d": full_window(F.avg, "_neg", long, trailing(long)),
-    }).drop("_idx", "_pol", "_neg")
+    }).drop(index, "_pol", "_neg")
+
+
+def index_sentiment(panel: DataFrame, index: DataFrame, long: int = S.SENTIMENT_LONG) -> DataFrame:
+    return with_index_sentiment(align_series(panel, index, "index"), long)

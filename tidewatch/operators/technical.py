@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import settings as S
-from tidewatch.functions.frames import (col, ewm_mean, expanding, full_window, ordered, ratio,
+from tidewatch.functions.frames import (col, ewm_means, expanding, full_window, ordered, ratio,
                                         rolling_z, trailing)
 
 
@@ -51,8 +51,7 @@ def with_rsi(df: DataFrame, period: int = S.RSI_PERIOD) -> DataFrame:
     df = df.withColumn("_d", step).withColumns({
         "_gain": F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))),
         "_loss": F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))})
-    df = ewm_mean(df, "_gain", "_up", 1.0 / period, period)
-    df = ewm_mean(df, "_loss", "_down", 1.0 / period, period)
+    df = ewm_means(df, {"_up": "_gain", "_down": "_loss"}, 1.0 / period, period)
     return (df.withColumn("rsi_14", 100.0 - 100.0 / (1.0 + ratio("_up", "_down")))
             .drop("_d", "_gain", "_loss", "_up", "_down"))
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tidewatch.plans import catalog_panel  # noqa: F401
+from tidewatch.plans import catalog_panel, catalog_eval  # noqa: F401
 from tidewatch.plans.registry import ORACLES, QUERIES, oracles  # noqa: F401

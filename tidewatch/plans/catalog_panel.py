@@ -65,9 +65,6 @@ _OWN = S.OWN_FEATURES
 _CROSS = ["mean_pairwise_corr_30", "corr_dispersion_30", "btc_lead_lag_5"]
 
 
-cte("c_gridt", "SELECT date, row_number() OVER (ORDER BY date) AS g FROM (SELECT DISTINCT date FROM c_trim)")
-
-
 @query("panel_assemble", f"""
 SELECT p.asset, DAY(p.date) AS date, R6(close) AS close, {_r6(_OWN)}, INT8(label) AS label FROM c_panel p""")
 def _(t):
@@ -101,8 +98,8 @@ def _(t):
 @query("asof_slice", """
 SELECT asset, DAY(max(date)) AS as_of, DAY(min(date)) AS window_start, INT8(count(*)) AS window_rows,
  R6(max_by(close, date)) AS close, R6(max_by(realized_vol_30, date)) AS realized_vol_30
-FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS r FROM c_tech WHERE date <= DATE '1999-06-30')
-WHERE r <= 30 GROUP BY asset""")
+FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date DESC) AS recent FROM c_tech WHERE date <= DATE '1999-06-30')
+WHERE recent <= 30 GROUP BY asset""")
 def _(t):
     return P.asof_slice(TE.with_realized_vol(t.bars), "1999-06-30", S.LOOKBACK, ["close", "realized_vol_30"])
 
@@ -246,7 +243,7 @@ for _key, _columns in {"s_polarity_1d_7d": ["headline_polarity_1d", "headline_po
 @query("s_index_fallback", f"""
 SELECT asset, DAY(date) AS date, {_r6(S.SENTIMENT)}, CAST(NULL AS DOUBLE) AS headline_count_z FROM c_senti""")
 def _(t):
-    return SE.with_index_sentiment(t.bars, t.fg_index).select("asset", "date", *S.SENTIMENT, "headline_count_z")
+    return SE.index_sentiment(t.bars, t.fg_index).select("asset", "date", *S.SENTIMENT, "headline_count_z")
 
 
 # --- cross-asset ---------------------------------------------------------------

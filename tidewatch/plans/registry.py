@@ -18,12 +18,15 @@ PLACES = 6
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Output form shared with the check SQL: rounded doubles, long integers, dates as text."""
+    """Output form shared with the check SQL: rounded doubles, long integers, dates as text.
+
+    Rounding is plain double arithmetic, so both engines treat exact halves alike.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), PLACES)
+            c = F.floor(c.cast("double") * 10.0 ** PLACES + 0.5) / 10.0 ** PLACES
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, T.DateType):
@@ -52,7 +55,7 @@ def cte(name: str, sql: str) -> None:
 
 def _expand(sql: str) -> str:
     """``R6(x)`` -> the output rounding, ``DAY(x)`` -> the date as text."""
-    for mark, head, tail in (("R6(", f"(round(CAST((", f") AS DOUBLE), {PLACES}) + 0.0)"),
+    for mark, head, tail in (("R6(", "(floor(CAST((", f") AS DOUBLE) * 1e{PLACES} + 0.5) / 1e{PLACES})"),
                              ("DAY(", "strftime(CAST((", ") AS DATE), '%Y-%m-%d')"),
                              ("INT8(", "CAST((", ") AS BIGINT)")):
         at = sql.find(mark)
