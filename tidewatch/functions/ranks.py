@@ -48,17 +48,17 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     sizes = counted.groupBy(*keys).agg(F.sum("_w").alias("n"))
     ranked = running_totals(counted, keys, value, ["_w"]).join(sizes, keys)
 
-    def target(p: float):
-        h = F.lit(p) * (F.col("n") - 1)
+    def target(p):
+        h = p * (F.col("n") - 1)
         lo = F.floor(h)
-        return F.struct(F.lit(p).alias("prob"), lo.alias("lo"),
+        return F.struct(p.alias("prob"), lo.alias("lo"),
                         F.least(lo + 1, F.col("n") - 1).alias("hi"), (h - lo).alias("frac"))
 
     def here(rank):
         return (rank >= F.col("run__w") - F.col("_w")) & (rank < F.col("run__w"))
 
     hits = ranked.withColumn("_q", F.explode(F.filter(
-        F.array(*[target(p) for p in probs]), lambda q: here(q["lo"]) | here(q["hi"]))))
+        F.transform(F.lit(probs), target), lambda q: here(q["lo"]) | here(q["hi"]))))
     hits = hits.select(*keys, "n", "_q.prob", "_q.frac",
                        F.when(here(F.col("_q.lo")), F.col(value)).alias("_lo"),
                        F.when(here(F.col("_q.hi")), F.col(value)).alias("_hi"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch import settings as S
 from tidewatch.functions.canon import fixed
 from tidewatch.functions.ranks import exact_quantiles, running_totals
+from tidewatch.session import staged
 
 BANNED = {"accuracy", "accuracy_score", "acc", "balanced_accuracy"}
 # --- fixed values: 60 quantile positions of the threshold search ---------------
@@ -94,10 +95,11 @@ def best_threshold(df: DataFrame, keys: list[str], y: str = "y_true", score: str
 
     Calibration rows only. Counts above each candidate come from the running
     counts per distinct score, not from comparing every row with every candidate.
+    The distinct scores are read several times, so they are written once.
     """
-    candidates = (exact_quantiles(df, keys, score, CANDIDATE_PROBS)
+    counted = staged(_by_score(df, keys, y, score), "scores")
+    candidates = (exact_quantiles(counted, keys, score, CANDIDATE_PROBS, weight="n")
                   .select(*keys, F.col("quantile").alias("threshold")).distinct())
-    counted = _by_score(df, keys, y, score)
     merged = (counted.select(*keys, F.col(score).alias("_at"), "pos", "n", F.lit(0).alias("cand"))
               .unionByName(candidates.select(*keys, F.col("threshold").alias("_at"), F.lit(0).alias("pos"),
                                              F.lit(0).alias("n"), F.lit(1).alias("cand")))

@@ -18,6 +18,7 @@ from tidewatch.plans import oracle_panel as O
 from tidewatch.plans.catalog_panel import THRESHOLD, demo_marked, demo_panel
 from tidewatch.plans.panel_plan import own_features
 from tidewatch.plans.registry import cte, query
+from tidewatch.session import staged
 from tidewatch.sources import inputs as I
 
 _OWN = S.OWN_FEATURES
@@ -232,7 +233,7 @@ SELECT e.fold, e.asset, DAY(e.window_end) AS window_end, INT8(e.label) AS label,
 FROM c_signal e JOIN c_signal t ON t.fold = e.fold AND t.role = 'train' JOIN c_rulethr h ON h.fold = e.fold
 WHERE e.role = 'test' GROUP BY 1, 2, e.window_end, e.label""")
 def _(t):
-    return MO.rule_scores(demo_marked(t), I.FOLDS)
+    return MO.rule_scores(staged(demo_marked(t), "marked"), I.FOLDS)
 
 
 # --- metrics ---------------------------------------------------------------------
