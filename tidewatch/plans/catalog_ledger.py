@@ -37,7 +37,7 @@ def _pages(df, entry, *keys):
 
 
 def _ms(day, seconds=0):
-    return (F.unix_timestamp(day.cast("timestamp")) + seconds) * 1000
+    return (F.unix_date(day).cast("long") * 86400 + seconds) * 1000
 
 
 def _kline_pages(t):
@@ -122,13 +122,13 @@ def _(t):
 @query("src_headlines", """
 SELECT INT8(doc_id) AS id, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, md5(title) AS title_md5,
  CASE WHEN lang = 'en' THEN source ELSE 'cryptopanic' END AS source, upper(lang) || ',' || source AS asset
-FROM c_headlines WHERE source <> 'web'""")
+FROM c_headlines WHERE source <> 'src3'""")
 def _(t):
     day = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     entry = F.struct(
         F.col("doc_id").alias("id"),
-        F.when(F.col("source") == "web", F.lit("not a time")).when(F.col("lang") != "fr", day).alias("published_at"),
-        F.when(F.col("source") != "web", day).alias("created_at"), "title",
+        F.when(F.col("source") == "src3", F.lit("not a time")).when(F.col("lang") != "fr", day).alias("published_at"),
+        F.when(F.col("source") != "src3", day).alias("created_at"), "title",
         F.when(F.col("lang") == "en", F.struct(F.col("source").alias("domain"))).alias("source"),
         F.array(F.struct(F.upper("lang").alias("code")), F.struct(F.col("source").alias("code"))).alias("currencies"))
     pages = t.headlines.select(F.to_json(F.struct(F.array(entry).alias("results"))).alias("payload"))
@@ -326,7 +326,7 @@ SELECT *, CASE WHEN NOT resolved THEN 'UNRESOLVED' WHEN warned AND crashed THEN
  SELECT *, severity_band IN ('HIGH', 'CRITICAL') AS warned, coalesce(dd >= {THRESHOLD}, false) AS crashed FROM (
   SELECT p.prediction_id, p.asset, p.as_of, p.as_of_date, p.severity_band, p.probability, p.risk_score, count(b.close) >= 2 AS resolved,
    CASE WHEN count(b.close) >= 2 THEN (min_by(b.close, b.date) - min(b.close)) / min_by(b.close, b.date) END AS dd
-  FROM c_preds p LEFT JOIN c_bars b ON b.asset = p.asset AND b.date BETWEEN p.as_of AND p.as_of + 14 GROUP BY ALL)))""")
+  FROM c_preds p LEFT JOIN c_bars b ON b.asset = p.asset AND b.date BETWEEN p.as_of AND p.as_of + 14 GROUP BY ALL))""")
 
 
 def demo_outcomes(t):

@@ -16,11 +16,18 @@ KLINE_FIELDS = {"open": 1, "high": 2, "low": 3, "close": 4, "volume": 5,
 DEFAULT_NEWS_SOURCE = "cryptopanic"
 
 
+def utc_day(epoch, per_day: int = 86400):
+    """The UTC day of an epoch, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(epoch / per_day).cast("int"))
+
+
+MILLIS = 86400000
+
+
 def klines(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """Arrays of 12 positional fields, the first one the opening time in epoch milliseconds."""
     rows = pages.select("asset", F.explode(F.from_json(payload, "array<array<string>>")).alias("k"))
-    opened = F.timestamp_millis(F.col("k")[0].cast("long"))
-    return rows.select("asset", F.to_date(opened).alias("date"),
+    return rows.select("asset", utc_day(F.col("k")[0].cast("long"), MILLIS).alias("date"),
                        *[F.col("k")[i].cast("double").alias(n) for n, i in KLINE_FIELDS.items()])
 
 
@@ -34,7 +41,7 @@ def price_points(pages: DataFrame, start: str, end: str, payload: str = "payload
     """Close-only points: the last of each UTC day within [start, end]; volumes stay missing."""
     points = pages.select("asset", F.explode(F.from_json(
         payload, "array<struct<timestamp:bigint,price:double>>")).alias("p"))
-    daily = (points.groupBy("asset", F.to_date(F.timestamp_seconds("p.timestamp")).alias("date"))
+    daily = (points.groupBy("asset", utc_day(F.col("p.timestamp")).alias("date"))
              .agg(F.max_by("p.price", "p.timestamp").alias("close"))
              .filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
     missing = F.lit(None).cast("double")
@@ -47,11 +54,11 @@ def market_chart(pages: DataFrame, payload: str = "payload") -> DataFrame:
         payload, "prices array<array<double>>, total_volumes array<array<double>>").alias("j"))
     def series(name):
         return (parsed.select("asset", F.explode(f"j.{name}").alias("p"))
-                .select("asset", F.timestamp_millis(F.col("p")[0].cast("long")).alias("ts"), F.col("p")[1].alias(name)))
+                .select("asset", F.col("p")[0].cast("long").alias("ts"), F.col("p")[1].alias(name)))
     joined = series("prices").join(series("total_volumes"), ["asset", "ts"], "full_outer")
     def last(name):
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("ts")))
-    daily = (joined.groupBy("asset", F.to_date("ts").alias("date"))
+    daily = (joined.groupBy("asset", utc_day(F.col("ts"), MILLIS).alias("date"))
              .agg(last("prices").alias("close"), last("total_volumes").alias("volume"))
              .filter(F.col("close").isNotNull()))
     return with_synthetic_range(daily).withColumns({
@@ -62,9 +69,9 @@ def daily_index(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """Epoch-second index values; the last entry of a repeated moment counts. No entry at all is an error."""
     rows = pages.select("page", F.posexplode(F.from_json(
         payload, "data array<struct<timestamp:string,value:string>>")["data"]).alias("pos", "r"))
-    out = (rows.groupBy(F.timestamp_seconds(F.col("r.timestamp").cast("long")).alias("ts"))
+    out = (rows.groupBy(F.col("r.timestamp").cast("long").alias("ts"))
            .agg(F.max_by(F.col("r.value").cast("double"), F.struct("page", "pos")).alias("value"))
-           .select(F.to_date("ts").alias("date"), "value"))
+           .select(utc_day(F.col("ts")).alias("date"), "value"))
     if rows.isEmpty():
         raise ValueError("index payload holds no data")
     return out
@@ -76,7 +83,7 @@ def nested_supply(pages: DataFrame, payload: str = "payload") -> DataFrame:
         payload, "array<struct<date:string,totalCirculatingUSD:struct<peggedUSD:double>>>")).alias("r"))
     epoch = F.col("r.date").cast("long")
     return (rows.filter(F.col("r.totalCirculatingUSD.peggedUSD").isNotNull())
-            .groupBy(F.to_date(F.timestamp_seconds(epoch)).alias("date"))
+            .groupBy(utc_day(epoch).alias("date"))
             .agg(F.max_by("r.totalCirculatingUSD.peggedUSD", epoch).alias("value")))
 
 
