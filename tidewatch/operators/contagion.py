@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch import settings as S
 from tidewatch.functions.frames import pair_corr
 from tidewatch.operators.panel import date_grid, returns_long
+from tidewatch.session import staged
 
 CENTRALITY_PLACES = 12
 
@@ -33,13 +34,12 @@ def grid_returns(panel: DataFrame, window: int = S.CORR_WINDOW) -> DataFrame:
                         & (F.count("ret").over(span) >= max(3, window // 2))))
 
 
-def pairwise_corr(panel: DataFrame, window: int = S.CORR_WINDOW) -> DataFrame:
-    """Rolling correlation of every pair of usable assets, pair-complete.
+def pairwise_corr(r: DataFrame, window: int = S.CORR_WINDOW) -> DataFrame:
+    """Rolling correlation of every pair of usable assets, pair-complete, from ``grid_returns``.
 
     The number of pairs is the size of the result. Pairs form by an equi-join on
     the date, then each pair is its own window partition.
     """
-    r = grid_returns(panel, window)
     a = r.select("g", "date", F.col("asset").alias("a"), F.col("ret").alias("ra"), F.col("usable").alias("ua"))
     b = r.select("g", F.col("asset").alias("b"), F.col("ret").alias("rb"), F.col("usable").alias("ub"))
     span = Window.partitionBy("a", "b").orderBy("g").rangeBetween(-(window - 1), 0)
@@ -57,13 +57,12 @@ def market_corr(pairs: DataFrame, min_assets: int = S.MIN_ASSETS) -> DataFrame:
         .filter((F.col("_pairs") >= min_pairs) & F.col("mean_pairwise_corr_30").isNotNull()).drop("_pairs"))
 
 
-def lead_lag(panel: DataFrame, primary: str, window: int = S.CORR_WINDOW,
+def lead_lag(r: DataFrame, primary: str, window: int = S.CORR_WINDOW,
              max_lag: int = S.LEAD_LAG_MAX, min_assets: int = S.MIN_ASSETS) -> DataFrame:
-    """Per date, mean over the other assets of lag x correlation at the lag that leads best.
+    """Per date, mean over the other assets of lag x correlation at the lag that leads best, from ``grid_returns``.
 
     0 where the primary asset is not usable or leads nobody.
     """
-    r = grid_returns(panel, window)
     lead_order = Window.partitionBy("asset").orderBy("g")
     leader = (r.filter(F.col("asset") == primary)
               .select("g", F.col("usable").alias("lead_usable"),
@@ -145,10 +144,15 @@ def eigen_centrality(pairs: DataFrame, min_weight: float = S.MIN_EDGE_WEIGHT,
     return graphs.mapInPandas(_centrality, "date date, asset string, eigen_centrality_30 double")
 
 
-def with_contagion(panel: DataFrame, primary: str) -> DataFrame:
-    """The panel with the market-wide columns by date and the centrality by (date, asset)."""
-    pairs = pairwise_corr(panel)
+def with_contagion(panel: DataFrame, prices: DataFrame, primary: str) -> DataFrame:
+    """The panel with the market-wide columns by date and the centrality by (date, asset).
+
+    ``prices`` is the narrow (asset, date, close) source. Returns and pair
+    correlations are each read several times, so they are written once.
+    """
+    r = staged(grid_returns(prices.select("asset", "date", "close")), "returns")
+    pairs = staged(pairwise_corr(r), "pairs")
     return (panel.join(market_corr(pairs), "date", "left")
-            .join(lead_lag(panel, primary), "date", "left")
+            .join(lead_lag(r, primary), "date", "left")
             .withColumn("btc_lead_lag_5", F.when(F.col("mean_pairwise_corr_30").isNotNull(), F.col("btc_lead_lag_5")))
             .join(eigen_centrality(pairs), ["date", "asset"], "left"))

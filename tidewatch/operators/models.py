@@ -16,6 +16,7 @@ from tidewatch.functions.ranks import empirical_cdf, exact_quantiles
 from tidewatch.operators import metrics as M
 from tidewatch.operators import splits as SP
 from tidewatch.operators import windows as W
+from tidewatch.session import staged
 
 KEY = ["asset", "window_end"]
 
@@ -62,12 +63,18 @@ def probability() -> Column:
 
 def training_rows(tensor: DataFrame, folds: list[dict], features: list[str], marked: DataFrame,
                   embargo: int = S.EMBARGO_DAYS) -> DataFrame:
-    """(fold, role, asset, window_end, label, features): windows of every fold, scaled on its training part."""
+    """(fold, role, asset, window_end, label, features): windows of every fold, scaled on its training part.
+
+    Windows are spread evenly over all cores: they are far larger than the panel
+    rows they come from, and every training iteration scans them.
+    """
+    cores = tensor.sparkSession.sparkContext.defaultParallelism
     arrays = SP.scale_arrays(SP.fit_scaler(marked, folds, features, embargo), features)
     roles = SP.walk_forward(tensor, folds, embargo).filter("role IN ('train', 'test')")
     return (SP.scale_windows(roles, arrays)
             .withColumn("features", W.flat_vector()).withColumn("label", F.col("label").cast("double"))
-            .select("fold", "role", "asset", "window_start", "window_end", "label_end", "label", "features"))
+            .select("fold", "role", "asset", "window_start", "window_end", "label_end", "label", "features")
+            .repartition(cores, "asset", "window_end"))
 
 
 def fit(estimator: Estimator, rows: DataFrame, resample: bool = False) -> Model:
@@ -82,26 +89,27 @@ def walk_forward(rows: DataFrame, models: dict[str, Callable[[], Estimator]], fo
                  embargo: int = S.EMBARGO_DAYS) -> DataFrame:
     """Fit every model on every fold, calibrate its threshold on later training windows, score the test windows.
 
-    ``rows`` comes from ``training_rows``, best from a staged table: each fit reads
-    it once. The loop is over the few (model, fold) pairs; each fit, transform and
-    threshold search is a distributed job, and the result is one union.
+    ``rows`` comes from ``training_rows``. The split of all folds is written once,
+    by fold, so each fit reads only its own files. The loop is over the few
+    (model, fold) pairs; each fit and transform is a distributed job, and all
+    thresholds come from one pass over the calibration scores.
     """
-    out = None
+    columns = ["fold", "part", *KEY, "label", "features"]
+    parts = staged(SP.calibration(rows, embargo).select(columns).unionByName(
+        rows.filter("role = 'test'").withColumn("part", F.lit("test")).select(columns)), "parts", ["fold"])
+    scored = None
     for fold in folds:
-        mine = rows.filter(F.col("fold") == fold["fold"])
-        parts = SP.calibration(mine, embargo)
-        test = mine.filter("role = 'test'")
+        mine = parts.filter(F.col("fold") == fold["fold"])
         for name, build in models.items():
-            model = fit(build(), parts.filter("part = 'fit'"))
-            held = (model.transform(parts.filter("part = 'calibrate'"))
-                    .select("fold", F.col("label").cast("long").alias("y_true"), probability().alias("y_score")))
-            limit = M.best_threshold(held, ["fold"]).select("fold", "threshold")
-            scored = (model.transform(test).select(
-                "fold", F.lit(name).alias("model"), F.col("window_end").alias("date"), "asset",
+            model = fit(build(), mine.filter("part = 'fit'"))
+            out = model.transform(mine.filter("part <> 'fit'")).select(
+                "fold", F.lit(name).alias("model"), "part", F.col("window_end").alias("date"), "asset",
                 F.col("label").cast("long").alias("y_true"), probability().alias("y_score"))
-                .join(limit, "fold", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5))))
-            out = scored if out is None else out.unionByName(scored)
-    return out
+            scored = out if scored is None else scored.unionByName(out)
+    scored = staged(scored, "scored")
+    limits = M.best_threshold(scored.filter("part = 'calibrate'"), ["fold", "model"]).select("fold", "model", "threshold")
+    return (scored.filter("part = 'test'").drop("part").join(limits, ["fold", "model"], "left")
+            .withColumn("threshold", F.coalesce("threshold", F.lit(0.5))))
 
 
 def deploy(estimator: Estimator, rows: DataFrame, path: str) -> PipelineModel:

@@ -141,6 +141,7 @@ def streamed_outcomes(t):
 
 @query("mon_stream_resolve", """
 SELECT prediction_id, asset, strftime(as_of, '%Y-%m-%d %H:%M:%S') AS pred_day, R6(dd) AS actual_max_drawdown, classification
-FROM c_outcomes WHERE resolved""")
+FROM c_outcomes WHERE resolved AND as_of + 16 <= (SELECT max(as_of) FROM c_preds)""")
 def _(t):
+    """Predictions whose horizon the watermark has not passed wait for later data."""
     return streamed_outcomes(t)

@@ -249,32 +249,32 @@ def _(t):
 # --- cross-asset ---------------------------------------------------------------
 @query("x_pairwise_corr", "SELECT DAY(date) AS date, a, b, R6(corr) AS corr FROM c_pairs")
 def _(t):
-    return C.pairwise_corr(t.bars).drop("g")
+    return C.pairwise_corr(C.grid_returns(t.bars)).drop("g")
 
 
 @query("x_mean_corr", "SELECT DAY(date) AS date, R6(mean_pairwise_corr_30) AS mean_pairwise_corr_30 FROM c_market")
 def _(t):
-    return C.market_corr(C.pairwise_corr(t.bars)).select("date", "mean_pairwise_corr_30")
+    return C.market_corr(C.pairwise_corr(C.grid_returns(t.bars))).select("date", "mean_pairwise_corr_30")
 
 
 @query("x_corr_dispersion", "SELECT DAY(date) AS date, R6(corr_dispersion_30) AS corr_dispersion_30 FROM c_market")
 def _(t):
-    return C.market_corr(C.pairwise_corr(t.bars)).select("date", "corr_dispersion_30")
+    return C.market_corr(C.pairwise_corr(C.grid_returns(t.bars))).select("date", "corr_dispersion_30")
 
 
 @query("x_lead_lag", "SELECT DAY(date) AS date, R6(btc_lead_lag_5) AS btc_lead_lag_5 FROM c_lead")
 def _(t):
-    return C.lead_lag(t.bars, I.PRIMARY)
+    return C.lead_lag(C.grid_returns(t.bars), I.PRIMARY)
 
 
 @query("x_corr_graph", "SELECT DAY(date) AS date, a, b, R6(abs(corr)) AS weight FROM c_pairs WHERE abs(corr) >= 0.3")
 def _(t):
-    return C.corr_graph(C.pairwise_corr(t.bars))
+    return C.corr_graph(C.pairwise_corr(C.grid_returns(t.bars)))
 
 
 @query("x_eigen_centrality")
 def _(t):
-    return C.eigen_centrality(C.pairwise_corr(t.bars))
+    return C.eigen_centrality(C.pairwise_corr(C.grid_returns(t.bars)))
 
 
 @query("x_degree_centrality", """
@@ -282,12 +282,12 @@ SELECT DAY(date) AS date, asset, R6(coalesce(d / nullif(sum(d) OVER (PARTITION B
  SELECT date, asset, sum(CASE WHEN abs(corr) >= 0.3 THEN abs(corr) ELSE 0 END) AS d FROM (
   SELECT date, a AS asset, corr FROM c_pairs UNION ALL SELECT date, b, corr FROM c_pairs) GROUP BY 1, 2)""")
 def _(t):
-    return C.degree_centrality(C.pairwise_corr(t.bars))
+    return C.degree_centrality(C.pairwise_corr(C.grid_returns(t.bars)))
 
 
 @query("x_contagion_all")
 def _(t):
-    return C.with_contagion(t.bars.select("asset", "date", "close"), I.PRIMARY)
+    return C.with_contagion(t.bars.select("asset", "date", "close"), t.bars, I.PRIMARY)
 
 
 # --- labels --------------------------------------------------------------------

@@ -148,15 +148,15 @@ def _(t):
     return A.nearest_cosine(t.vectors, A.latest_queries(t.vectors))
 
 
-def _row_vectors(t, features):
+def _last_rows(panel, features):
     """The last row of each complete window as its vector."""
-    marked = W.mark_windows(own_features(t.bars, t.supply, t.fg_index, t.assets).withColumn("label", F.lit(0)), _OWN)
-    return marked.filter("emit").select("asset", "date", F.array(*[F.col(f) for f in features]).alias("vec"))
+    marked = W.mark_windows(panel.withColumn("label", F.lit(0)), _OWN)
+    return staged(marked.filter("emit").select("asset", "date", F.array(*[F.col(f) for f in features]).alias("vec")), "vectors")
 
 
 @query("an_mahalanobis")
 def _(t):
-    vectors = staged(_row_vectors(t, S.TECHNICAL), "vectors")
+    vectors = _last_rows(_panel(t), S.TECHNICAL)
     return A.nearest_mahalanobis(vectors, A.latest_queries(vectors), len(S.TECHNICAL))
 
 
@@ -184,15 +184,12 @@ FROM c_match m LEFT JOIN c_trim b ON b.asset = m.asset AND b.date BETWEEN m.date
 
 
 def _matches(t):
-    vectors = staged(_row_vectors(t, _AF), "vectors")
-    points = latest_dates(own_panel_dates(t), decision_points(t.cycles, t.assets))
+    panel = staged(_panel(t), "panel")
+    vectors = _last_rows(panel, _AF)
+    points = latest_dates(panel, decision_points(t.cycles, t.assets))
     return A.nearest_cosine(vectors, A.queries_at(vectors, points))
 
 
-def own_panel_dates(t):
-    return trim_inception(t.bars, t.assets).select("asset", "date")
-
-
 @query("an_outcome", """
 SELECT asset, DAY(as_of) AS as_of, DAY(date) AS date, INT8(k) AS rank, R6(similarity) AS similarity, available,
  CASE WHEN available THEN R6((s - lo) / s) END AS max_drawdown, CASE WHEN available THEN R6((e - s) / s) END AS "return",
@@ -311,13 +308,14 @@ SELECT *, CASE WHEN n >= 2 THEN (0.5 + 0.5 * consensus) * conf ELSE 0 END AS con
 def demo_chain(t, analogues=True):
     panel = staged(_panel(t), "panel")
     pct = staged(R.percentiles(panel, SIGNALS), "percentiles")
+    points = staged(latest_dates(panel, decision_points(t.cycles, t.assets)), "points")
     best = None
-    points = decision_points(t.cycles, t.assets)
     if analogues:
-        at = latest_dates(panel, points)
-        best = staged(_matches(t).groupBy("asset", "as_of").agg(F.max("similarity").alias("best_similarity"))
-                      .join(at, ["asset", "as_of"]), "precedents")
-    return Chain(panel, percentile_models(pct, MODELS), points, best)
+        vectors = _last_rows(panel, _AF)
+        best = (A.nearest_cosine(vectors, A.queries_at(vectors, points)).groupBy("asset", "as_of")
+                .agg(F.max("similarity").alias("best_similarity")).join(points, ["asset", "as_of"]))
+        best = staged(best, "precedents")
+    return Chain(panel, pct, percentile_models(pct, MODELS), points, best)
 
 
 @query("rk_orchestrate", """

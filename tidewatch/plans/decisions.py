@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewatch import settings as S
 from tidewatch.operators import risk as R
-from tidewatch.operators.asof import latest_dates
 from tidewatch.session import staged
 
 SIGNALS = [f for f, _, _ in S.MARKET_SIGNALS + S.FLOW_SIGNALS + S.SENTIMENT_SIGNALS]
@@ -16,26 +15,19 @@ SIGNALS = [f for f, _, _ in S.MARKET_SIGNALS + S.FLOW_SIGNALS + S.SENTIMENT_SIGN
 class Chain:
     """Panel -> percentiles -> component reports -> orchestration -> doubt -> decision.
 
-    Reports are made for every panel row in one pass; a decision date takes the
-    latest row at or before it. The percentiles and the reports at the points feed
-    several later steps, so both are written once.
+    A decision date takes the latest row at or before it, so only those rows get
+    reports. The reports feed several later steps and are written once.
     """
 
-    def __init__(self, panel: DataFrame, predictions: DataFrame, points: DataFrame | None = None,
+    def __init__(self, panel: DataFrame, pct: DataFrame, predictions: DataFrame, points: DataFrame,
                  analogues: DataFrame | None = None):
-        self.panel = staged(panel, "panel")
-        self.pct = staged(R.percentiles(self.panel, SIGNALS), "percentiles")
-        keys = self.panel.select("asset", "date")
-        reports = [R.market(keys, self.pct), R.flow(keys, self.pct), R.sentiment(keys, self.pct)]
+        """``panel`` and ``pct`` are read several times: pass staged tables. ``points`` holds (asset, as_of, date)."""
+        self.panel, self.pct, self.points, self.analogues = panel, pct, points, analogues
+        keys = panel.join(points.select("asset", "date").distinct(), ["asset", "date"], "left_semi").select("asset", "date")
         out = R.models(keys, predictions)
-        for r in reports:
-            out = out.unionByName(r, allowMissingColumns=True)
-        self.points = None
-        if points is not None:
-            self.points = staged(latest_dates(self.panel, points), "points")
-            out = out.join(self.points.select("asset", "date").distinct(), ["asset", "date"], "left_semi")
+        for component in (R.market, R.flow, R.sentiment):
+            out = out.unionByName(component(keys, pct), allowMissingColumns=True)
         self.reports = staged(out, "reports")
-        self.analogues = analogues
 
     def preliminary(self) -> DataFrame:
         return R.orchestrate(self.reports)

@@ -28,5 +28,5 @@ def assemble(bars: DataFrame, supply: DataFrame, index: DataFrame, assets: DataF
              cross_asset: bool = True) -> DataFrame:
     df = own_features(bars, supply, index, assets)
     if cross_asset:
-        df = with_contagion(df, primary)
+        df = with_contagion(df, trim_inception(bars, assets), primary)
     return blank_context(with_label(df, threshold, horizon), assets)

@@ -16,7 +16,8 @@ def outcome_stream(predictions: DataFrame, prices: DataFrame, horizon: int = S.H
 
     Both sides carry watermarks and the time bound is part of the join condition,
     so Spark can drop state once a horizon is over. The aggregate is keyed by the
-    prediction's own day and emitted when that day can get no more prices.
+    prediction's own day and emitted when that day can get no more prices, that is
+    once the watermark has passed the end of the horizon.
     """
     p = predictions.withWatermark("pred_ts", late)
     q = prices.withColumnRenamed("asset", "p_asset").withWatermark("ts", late)
