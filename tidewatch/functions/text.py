@@ -32,22 +32,21 @@ Scorer = Callable[[Column], Column]
 
 def words(text: Column) -> Column:
     """Whitespace-separated words, lower case, outer punctuation removed."""
-    return F.transform(F.split(F.trim(text), r"[ \t\n\r]+"),
-                       lambda w: F.lower(F.btrim(w, F.lit(STRIPPED))))
+    return F.transform(F.split(F.lower(F.trim(text)), r"[ \t\n\r]+"),
+                       lambda w: F.btrim(w, F.lit(STRIPPED)))
 
 
 def lexicon_scorer(negative: list[str] = NEGATIVE_WORDS,
                    positive: list[str] = POSITIVE_WORDS) -> Scorer:
     """Polarity (pos - neg) / (pos + neg) in [-1, 1]; 0 without a lexicon word."""
+    lexicon = [*negative, *positive]
+
+    def polarity(hits: Column) -> Column:
+        pos, neg = F.size(F.filter(hits, lambda w: w.isin(positive))), F.size(F.filter(hits, lambda w: w.isin(negative)))
+        return F.coalesce((pos - neg).cast("double") / F.nullif(pos + neg, F.lit(0)), F.lit(0.0))
+
     def score(text: Column) -> Column:
-        votes = F.aggregate(
-            words(F.coalesce(text, F.lit(""))),
-            F.struct(F.lit(0).alias("pos"), F.lit(0).alias("neg")),
-            lambda acc, w: F.struct(
-                (acc["pos"] + w.isin(positive).cast("int")).alias("pos"),
-                (acc["neg"] + w.isin(negative).cast("int")).alias("neg")),
-            lambda acc: F.coalesce(
-                (acc["pos"] - acc["neg"]).cast("double") / F.nullif(acc["pos"] + acc["neg"], F.lit(0)),
-                F.lit(0.0)))
-        return votes
+        hits = F.filter(words(F.coalesce(text, F.lit(""))), lambda w: w.isin(lexicon))
+        # one-element transform: the matches are found once and used twice
+        return F.transform(F.array(hits), polarity)[0]
     return score
