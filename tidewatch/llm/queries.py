@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import packing, token_store, tokens
+from tidewatch.llm import blocks, packing, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -47,3 +47,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` packed along the curve."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1, keep_ids=False)
+
+
+@query("op8_window_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(list_slice(ws, p, p + 49), ' ')) AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p + o AS pos FROM (SELECT doc_id, p FROM win JOIN firsts USING (k) WHERE m < doc_id), range(0, 50) t(o)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (SELECT e.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN e.word END, ' ' ORDER BY e.pos), '') AS t
+         FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, windows of 50 words."""
+    stored = blocks.write_blocks(table(spark, sf_dir, "documents"), "window-blocks")
+    return windows.removed(stored).select("doc_id", "n_words", "n_removed", "kept_sha256")
