@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocks, packing, token_store, tokens, windows
+from tidewatch.llm import blocks, packing, rules, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -64,3 +64,41 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``, windows of 50 words."""
     stored = blocks.write_blocks(table(spark, sf_dir, "documents"), "window-blocks")
     return windows.removed(stored).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _rule_sql() -> str:
+    """The rules in DuckDB: the same counts, exact binomial tails, step-down order and cutoffs."""
+    tests = ", ".join(f"('{rule}', '{m}', '{d}', {c}::DOUBLE)" for rule, (m, d, cuts) in rules.RULES.items() for c in cuts)
+    rejected = " OR ".join(f"coalesce({m} {'>' if d == 'above' else '<'} {rule}, false)" for rule, (m, d, _) in rules.RULES.items())
+    picked = ", ".join(f"{'min' if d == 'above' else 'max'}(cutoff) FILTER (rule = '{rule}') AS {rule}" for rule, (_, d, _) in rules.RULES.items())
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT r, p, array_to_string(list_slice(ws, p, p + 4), ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n > 1),
+reps AS (SELECT r, count(DISTINCT p + o) AS n FROM twice, range(0, 5) x(o) GROUP BY r),
+c AS (SELECT w.r, doc_id, lang, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, coalesce(reps.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN reps USING (r)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / nullif(word_chars, 0)::DOUBLE AS symbol_share, n_repeat_words / nullif(n_words, 0)::DOUBLE AS repeat_share,
+        n_dup_lines / nullif(n_lines, 0)::DOUBLE AS dup_line_share, word_chars / nullif(n_words, 0)::DOUBLE AS mean_word FROM c),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT m.* FROM m JOIN good USING (doc_id) WHERE NOT base_failed),
+tests(rule, measure, direction, cutoff) AS (VALUES {tests}),
+counted AS (SELECT lang AS stratum, rule, direction, cutoff, count(*) AS n, count(*) FILTER (CASE WHEN direction = 'above' THEN v > cutoff ELSE v < cutoff END) AS k
+            FROM (SELECT lang, rule, direction, cutoff, CASE measure WHEN 'symbol_share' THEN symbol_share WHEN 'repeat_share' THEN repeat_share
+                    WHEN 'dup_line_share' THEN dup_line_share ELSE mean_word END AS v FROM held, tests) GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k >= n * {rules.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+            exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rules.RISK}) + (n - i) * ln({1 - rules.RISK})))) END AS p FROM counted),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p, stratum, rule, cutoff) AS j, count(*) OVER () AS total FROM tails),
+proven AS (SELECT * FROM (SELECT *, min(CASE WHEN p <= {rules.LEVEL} / (total - j + 1) THEN 1 ELSE 0 END) OVER (ORDER BY j) AS ok FROM ranked) WHERE ok = 1),
+limits AS (SELECT stratum, {picked} FROM proven GROUP BY stratum)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT (base_failed OR {rejected}) AS kept
+FROM m LEFT JOIN limits ON m.lang IS NOT DISTINCT FROM limits.stratum"""
+
+
+@query("op2_quality_rules", _rule_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` under the rules, cutoffs proven on whole ``labels``."""
+    return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
