@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, packing, rules, token_store, tokens, windows
+from tidewatch.llm import blocks, gam, packing, rules, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -102,3 +103,16 @@ FROM m LEFT JOIN limits ON m.lang IS NOT DISTINCT FROM limits.stratum"""
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` under the rules, cutoffs proven on whole ``labels``."""
     return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: From this score on a document is predicted to be good.
+GOOD = 0.3
+
+
+@query("op6_quality_gam")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text of ``documents``; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    score = gam.scorer(gam.train(docs, table(spark, sf_dir, "labels")))
+    scored = docs.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0).cast("int"))
