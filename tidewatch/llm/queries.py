@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, gam, packing, rules, token_store, tokens, windows
+from tidewatch.llm import blocks, gam, packing, rules, simhash, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -116,3 +116,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = gam.scorer(gam.train(docs, table(spark, sf_dir, "labels")))
     scored = docs.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0).cast("int"))
+
+
+@query("op3_simhash_pivots")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``: 64-bit fingerprints of three-word shingles, linked at three bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.EXACT)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
