@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, gam, packing, rules, simhash, token_store, tokens, windows
+from tidewatch.llm import blocks, gam, packing, rules, simhash, syncmers, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -123,3 +123,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``: 64-bit fingerprints of three-word shingles, linked at three bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.EXACT)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op7_syncmers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` and their edited texts."""
+    return syncmers.edited(table(spark, sf_dir, "documents"))
