@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, gam, packing, rules, simhash, syncmers, token_store, tokens, windows
+from tidewatch.llm import blocks, gam, packing, rules, simhash, substrings, syncmers, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -129,3 +129,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` and their edited texts."""
     return syncmers.edited(table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, strings of 100 bytes."""
+    return substrings.removed(table(spark, sf_dir, "documents")).drop("spans")
