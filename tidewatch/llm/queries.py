@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import attribution, blocks, gam, packing, rules, simhash, substrings, syncmers, token_store, tokens, windows
+from tidewatch.llm import attribution, blocks, gam, packing, pieces, rules, simhash, substrings, syncmers, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -141,3 +141,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of whole ``documents``; a token across a border counts for the line with most of it."""
     return attribution.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), rule="most")
+
+
+@query("op10_piece_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` to SentencePiece ids and back."""
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("ids")
