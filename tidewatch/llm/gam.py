@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # Repeated rows of an id are trained on once.
     small = (rows.mapInArrow(extract, "doc_id long, label double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
              .select("doc_id", "r.*").limit(MAX_ROWS).toPandas().sort_values("doc_id"))
-    return fit(np.array(small["x"].tolist()).reshape(len(small), -1), small["label"].to_numpy(dtype=float))
+    return fit(np.array(small["x"].tolist()).reshape(len(small), len(FEATURES)), small["label"].to_numpy(dtype=float))
 
 
 def scorer(model: Model):
