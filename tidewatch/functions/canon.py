@@ -17,6 +17,21 @@ def number_text(x: Column | str, places: int = 8) -> Column:
     return F.round(finite(x), places).cast(f"decimal(38,{places})").cast("string")
 
 
+def escaped(text: Column) -> Column:
+    """The inside of an ASCII JSON string: quotes, backslashes and controls escaped, other characters as ``\\uXXXX``
+    (those beyond the first plane as a pair)."""
+    short = F.create_map(*(F.lit(x) for pair in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")) for x in pair))
+    def code(n: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    def one(c: Column) -> Column:
+        n = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+        above = n - 0x10000
+        pair = F.concat(code(F.lit(0xD800) + F.shiftright(above, 10)), code(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
+        return F.coalesce(F.element_at(short, c), F.when((n >= 32) & (n < 127), c).when(n < 0x10000, code(n)).otherwise(pair))
+    rest = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+    return F.when(text.rlike("^[ !#-\\[\\]-~]*$"), text).otherwise(rest)
+
+
 def json_value(x: Column, kind: str) -> Column:
     """One JSON value: ``number``, ``integer``, ``boolean``, ``raw`` (already JSON) or ``string``."""
     if kind == "number":
@@ -24,8 +39,7 @@ def json_value(x: Column, kind: str) -> Column:
     elif kind in ("integer", "boolean", "raw"):
         text = x.cast("string")
     else:
-        escaped = F.replace(F.replace(x.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-        text = F.concat(F.lit('"'), escaped, F.lit('"'))
+        text = F.concat(F.lit('"'), escaped(x.cast("string")), F.lit('"'))
     return F.coalesce(text, F.lit("null"))
 
 

@@ -76,27 +76,29 @@ def ewm_means(df, values: dict[str, str], alpha: float, min_rows: int, *keys: st
 
     Unrolled, the mean seeded by the first value is a weighted sum with weights
     (1-alpha)^age. Rows are cut into blocks; inside a block it is a running sum of
-    re-scaled values, and the two blocks before it add their decayed totals. Older
-    blocks weigh less than (1-alpha)^(2*block), below double precision, so the
-    result equals the full recursion. Work is linear in the rows.
+    re-scaled values. Every block leaves one total, and the totals of all blocks
+    before a row's own, decayed in their order, are added: the full recursion, down
+    to values that only a long-past row keeps from zero. Work is linear in the rows;
+    the totals of a key are one short list of days / block entries.
     """
     keys = keys or ("asset",)
     decay = 1.0 - alpha
-    if decay ** (2 * block) > 1e-16:
-        raise ValueError("block too short for this alpha")
     known = col(next(iter(values.values()))).isNotNull()
     df = df.withColumn("_n", F.when(known, F.count(F.when(known, 1)).over(expanding(*keys, order=order))))
     pos = F.col("_n") - 1
     own = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    by_block = Window.partitionBy(*keys).orderBy("_blk")
     weights = {f"_w_{out}": F.when(pos == 0, col(v) / alpha).otherwise(col(v))
                * F.pow(F.lit(1.0 / decay), pos % block) for out, v in values.items()}
     df = df.withColumns({"_blk": F.floor(pos / block), **weights})
+    totals = (df.filter(F.col("_blk").isNotNull()).groupBy(*keys, "_blk").agg(*[F.sum(w).alias(w) for w in weights])
+              .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_blk", *weights))).alias("_blocks")))
+    df = df.join(totals, list(keys), "left")
+    def carried(weight: str) -> Column:
+        before = F.filter("_blocks", lambda b: b["_blk"] < F.col("_blk"))
+        return F.aggregate(before, F.lit(0.0), lambda acc, b: (acc + b[weight]) * decay ** block)
+
     means = {}
     for out in values:
-        total = F.sum(f"_w_{out}").over(own)
-        for back in (1, 2):
-            earlier = F.sum(f"_w_{out}").over(by_block.rangeBetween(-back, -back))
-            total = total + F.coalesce(earlier, F.lit(0.0)) * decay ** (back * block)
+        total = F.sum(f"_w_{out}").over(own) + F.coalesce(carried(f"_w_{out}"), F.lit(0.0))
         means[out] = F.when(F.col("_n") >= min_rows, F.lit(alpha) * total * F.pow(F.lit(decay), pos % block))
-    return df.withColumns(means).drop("_n", "_blk", *weights)
+    return df.withColumns(means).drop("_n", "_blk", "_blocks", *weights)

@@ -10,15 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A group is cut into so many ranges at least; more where the session shuffles into more partitions.
 RANGES = 64
 
 
+def attach(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of its group. Without keys ``groups`` is one row (an aggregate over everything), which is
+    broadcast; with keys Spark picks the join by size."""
+    return df.join(groups, keys) if keys else df.crossJoin(F.broadcast(groups))
+
+
 def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
-                   descending: bool = False, ranges: int = RANGES) -> DataFrame:
+                   descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Inclusive running sums ``run_<c>`` per key in the order of a column unique per key."""
+    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(order, [i / ranges for i in range(1, ranges)], F.lit(10000)).alias("_cuts"))
-    cut = (df.join(cuts, keys)
+    cut = (attach(df, cuts, keys)
            .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
            .drop("_cuts"))
     value_order = F.desc(order) if descending else F.asc(order)
@@ -46,7 +54,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
                .agg(copies.cast("long").alias("_w")).filter("_w > 0"))
     sizes = counted.groupBy(*keys).agg(F.sum("_w").alias("n"))
-    ranked = running_totals(counted, keys, value, ["_w"]).join(sizes, keys)
+    ranked = running_totals(counted, keys, value, ["_w"])
+    ranked = attach(ranked, sizes, keys)
 
     def target(p):
         h = p * (F.col("n") - 1)
@@ -77,7 +86,7 @@ def empirical_cdf(reference: DataFrame, query: DataFrame, keys: list[str], value
             .filter(F.col(value).isNotNull())
             .groupBy(*keys, value).agg(F.sum("_ref").alias("_ref")))
     sizes = both.groupBy(*keys).agg(F.sum("_ref").alias("_n"))
-    position = (running_totals(both, keys, value, ["_ref"]).join(sizes, keys)
+    position = (attach(running_totals(both, keys, value, ["_ref"]), sizes, keys)
                 .select(*keys, value, (F.col("run__ref") / F.nullif("_n", F.lit(0))).alias(out)))
     return query.join(position, [*keys, value], "left")
 

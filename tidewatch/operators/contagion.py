@@ -102,6 +102,17 @@ def degree_centrality(pairs: DataFrame, min_weight: float = S.MIN_EDGE_WEIGHT) -
     return degree.select("date", "asset", F.coalesce(F.col("degree") / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("degree_share"))
 
 
+def _connected(linked: np.ndarray) -> bool:
+    """Whether every node is reached from the first, step by step."""
+    seen = np.zeros(len(linked), dtype=bool)
+    front = seen.copy()
+    front[0] = True
+    while front.any():
+        seen |= front
+        front = linked[front].any(axis=0) & ~seen
+    return bool(seen.all())
+
+
 def _centrality(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per row: leading eigenvector of one date's graph, degree shares when it is not connected."""
     for batch in batches:
@@ -115,8 +126,7 @@ def _centrality(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m[cols, rows] = w
             values = np.zeros(len(nodes))
             if m.any():
-                reach = np.linalg.matrix_power((m > 0) + np.eye(len(nodes)), len(nodes) - 1)
-                if (reach > 0).all():
+                if _connected(m > 0):
                     lead = np.linalg.eigh(m)[1][:, -1]
                     values = np.abs(lead) / np.linalg.norm(lead)
                 else:

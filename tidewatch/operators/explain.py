@@ -31,7 +31,7 @@ def gradient_input(tensor: DataFrame, gradient: Column) -> DataFrame:
 
 def per_feature(attr: DataFrame, features: list[str]) -> DataFrame:
     """Contributions summed over the window: one double column per feature."""
-    totals = F.aggregate(F.slice("contrib", 2, 10 ** 6), F.element_at("contrib", 1),
+    totals = F.aggregate(F.slice("contrib", F.lit(2), F.size("contrib") - 1), F.element_at("contrib", 1),
                          lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
     df = attr.select(*KEY, "label", totals.alias("_t"))
     return df.select(*KEY, "label", *[F.col("_t")[i].alias(f) for i, f in enumerate(features)])
@@ -108,12 +108,11 @@ def top_features(profiles: DataFrame, k: int = 5) -> DataFrame:
 
 def topk_jaccard(profiles: DataFrame, k: int = 5) -> DataFrame:
     """Overlap of the top-k feature sets for each pair of episodes; one row per episode goes into the join."""
-    sets = (top_features(profiles, k).groupBy("episode").agg(F.collect_set("feature").alias("s"))
-            .withColumn("all", F.lit(1)))
-    a = sets.select("all", F.col("episode").alias("a"), F.col("s").alias("sa"))
-    b = sets.select("all", F.col("episode").alias("b"), F.col("s").alias("sb"))
+    sets = top_features(profiles, k).groupBy("episode").agg(F.collect_set("feature").alias("s"))
+    a = sets.select(F.col("episode").alias("a"), F.col("s").alias("sa"))
+    b = F.broadcast(sets.select(F.col("episode").alias("b"), F.col("s").alias("sb")))     # one row per listed episode
     both, either = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
-    return (a.join(b, "all").filter("a < b")
+    return (a.join(b, F.col("a") < F.col("b"))
             .select("a", "b", F.coalesce(both / F.nullif(either, F.lit(0)), F.lit(0.0)).alias("jaccard")))
 
 

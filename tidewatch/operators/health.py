@@ -46,7 +46,8 @@ def severity(df: DataFrame) -> DataFrame:
 
 
 def trend(per_fold: DataFrame, metric: str = "pr_auc", order: str = "fold", limit: float = -0.01) -> DataFrame:
-    """Least-squares slope over a model's ordered folds; needs three folds, all of them known."""
+    """Least-squares slope over a model's ordered folds; needs three folds, all of them known. ``metric`` is one that grows
+    with quality, such as PR-AUC: a slope below ``limit`` is a decline."""
     w = Window.partitionBy("model").orderBy(order)
     df = per_fold.withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
     return (df.groupBy("model").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import settings as S
 from tidewatch.functions.canon import fixed
-from tidewatch.functions.ranks import exact_quantiles, running_totals
+from tidewatch.functions.ranks import attach, exact_quantiles, running_totals
 from tidewatch.session import staged
 
 BANNED = {"accuracy", "accuracy_score", "acc", "balanced_accuracy"}
@@ -32,12 +32,18 @@ def _share(a: Column, b: Column) -> Column:
 def confusion(df: DataFrame, keys: list[str], threshold: Column | float = 0.5,
               y: str = "y_true", score: str = "y_score") -> DataFrame:
     """TP, FP, FN, TN with precision, recall and F1 (0 when undefined)."""
+    return _rates(df.groupBy(*keys).agg(*_cells(threshold, y, score)))
+
+
+def _cells(threshold: Column | float, y: str, score: str) -> list[Column]:
     fired = F.col(score) >= threshold
     def n(cond):
         return F.sum(cond.cast("long"))
-    counts = df.groupBy(*keys).agg(
-        n(fired & (F.col(y) == 1)).alias("tp"), n(fired & (F.col(y) == 0)).alias("fp"),
-        n(~fired & (F.col(y) == 1)).alias("fn"), n(~fired & (F.col(y) == 0)).alias("tn"))
+    return [n(fired & (F.col(y) == 1)).alias("tp"), n(fired & (F.col(y) == 0)).alias("fp"),
+            n(~fired & (F.col(y) == 1)).alias("fn"), n(~fired & (F.col(y) == 0)).alias("tn")]
+
+
+def _rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({
         "precision": _share(F.col("tp"), F.col("tp") + F.col("fp")),
         "recall": _share(F.col("tp"), F.col("tp") + F.col("fn")),
@@ -47,8 +53,11 @@ def confusion(df: DataFrame, keys: list[str], threshold: Column | float = 0.5,
 def false_alarm_rate(df: DataFrame, keys: list[str], threshold: Column | float = 0.5,
                      y: str = "y_true", score: str = "y_score") -> DataFrame:
     """FP / (FP + TN), NULL without negatives."""
-    calm = F.when(F.col(y) == 0, (F.col(score) >= threshold).cast("double"))
-    return df.groupBy(*keys).agg(F.avg(calm).alias("false_alarm_rate"))
+    return df.groupBy(*keys).agg(_false_alarms(threshold, y, score))
+
+
+def _false_alarms(threshold: Column | float, y: str, score: str) -> Column:
+    return F.avg(F.when(F.col(y) == 0, (F.col(score) >= threshold).cast("double"))).alias("false_alarm_rate")
 
 
 def _by_score(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
@@ -63,7 +72,7 @@ def ranking(df: DataFrame, keys: list[str], y: str = "y_true", score: str = "y_s
     """
     counted = _by_score(df, keys, y, score)
     totals = counted.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
-    r = running_totals(counted, keys, score, ["pos", "n"], descending=True).join(totals, keys)
+    r = attach(running_totals(counted, keys, score, ["pos", "n"], descending=True), totals, keys)
     negatives = F.col("_n") - F.col("_p")
     ap = F.sum(F.col("pos") / F.nullif("_p", F.lit(0)) * F.col("run_pos") / F.col("run_n"))
     below = negatives - (F.col("run_n") - F.col("run_pos"))          # negatives with a lower score
@@ -74,16 +83,20 @@ def ranking(df: DataFrame, keys: list[str], y: str = "y_true", score: str = "y_s
 
 
 def brier(df: DataFrame, keys: list[str], y: str = "y_true", score: str = "y_score") -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.avg((F.col(score) - F.col(y)) ** 2).alias("brier"), F.avg(y).alias("positive_rate"),
-        F.sum(y).alias("n_positive"), F.count(F.lit(1)).alias("n_samples"))
+    return df.groupBy(*keys).agg(*_squares(y, score))
+
+
+def _squares(y: str, score: str) -> list[Column]:
+    return [F.avg((F.col(score) - F.col(y)) ** 2).alias("brier"), F.avg(y).alias("positive_rate"),
+            F.sum(y).alias("n_positive"), F.count(F.lit(1)).alias("n_samples")]
 
 
 def metric_suite(df: DataFrame, keys: list[str], threshold: Column | float = 0.5,
                  y: str = "y_true", score: str = "y_score") -> DataFrame:
-    """All metrics per group, with the positive rate as PR-AUC baseline and the lift over it."""
-    out = (ranking(df, keys, y, score).join(confusion(df, keys, threshold, y, score), keys)
-           .join(false_alarm_rate(df, keys, threshold, y, score), keys).join(brier(df, keys, y, score), keys))
+    """All metrics per group, with the positive rate as PR-AUC baseline and the lift over it. All but the ranking are one
+    aggregation."""
+    plain = _rates(df.groupBy(*keys).agg(*_cells(threshold, y, score), _false_alarms(threshold, y, score), *_squares(y, score)))
+    out = attach(ranking(df, keys, y, score), plain, keys)
     out = (out.withColumn("pr_auc_baseline", F.col("positive_rate"))
            .withColumn("pr_auc_lift", F.col("pr_auc") - F.col("pr_auc_baseline")))
     guard_names(out.columns)

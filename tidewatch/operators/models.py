@@ -35,10 +35,18 @@ def rule_scores(marked: DataFrame, folds: list[dict], signal: str = "realized_vo
     return scored.join(limits, "fold").select("fold", *KEY, "label", "y_score", "vol_threshold")
 
 
-def logreg(max_iter: int = 100, reg: float = 1e-4) -> Estimator:
-    """L2 logistic regression on balanced weights."""
+def logreg(max_iter: int = 100) -> Estimator:
+    """L2 logistic regression on balanced weights; ``fit`` sets the penalty from the number of rows."""
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                              maxIter=max_iter, regParam=reg, standardization=False)
+                              maxIter=max_iter, standardization=False)
+
+
+def _penalised(estimator: Estimator, rows: DataFrame, inverse: float = 1.0) -> Estimator:
+    """The penalty is half the squared weights against the summed loss times ``inverse``; Spark divides the loss by the
+    weights' sum, which balanced weights make the number of rows."""
+    if not isinstance(estimator, LogisticRegression):
+        return estimator
+    return estimator.copy({estimator.regParam: 1.0 / (inverse * max(1, rows.count()))})
 
 
 def forest(trees: int = 400, depth: int = 8, seed: int = 42) -> Estimator:
@@ -65,24 +73,23 @@ def training_rows(tensor: DataFrame, folds: list[dict], features: list[str], mar
                   embargo: int = S.EMBARGO_DAYS) -> DataFrame:
     """(fold, role, asset, window_end, label, features): windows of every fold, scaled on its training part.
 
-    Windows are spread evenly over all cores: they are far larger than the panel
-    rows they come from, and every training iteration scans them.
+    Windows are spread evenly over the shuffle's partitions: they are far larger than
+    the panel rows they come from, and every training iteration scans them.
     """
-    cores = tensor.sparkSession.sparkContext.defaultParallelism
     arrays = SP.scale_arrays(SP.fit_scaler(marked, folds, features, embargo), features)
     roles = SP.walk_forward(tensor, folds, embargo).filter("role IN ('train', 'test')")
     return (SP.scale_windows(roles, arrays)
             .withColumn("features", W.flat_vector()).withColumn("label", F.col("label").cast("double"))
             .select("fold", "role", "asset", "window_start", "window_end", "label_end", "label", "features")
-            .repartition(cores, "asset", "window_end"))
+            .repartition("asset", "window_end"))
 
 
 def fit(estimator: Estimator, rows: DataFrame, resample: bool = False) -> Model:
     """Fit on balanced class weights, or on rows resampled by them."""
-    weighted = SP.with_class_weight(rows.withColumn("_all", F.lit(0)), ["_all"])
+    weighted = SP.with_class_weight(rows, [])
     if resample:
-        weighted = SP.weighted_resample(weighted, ["_all"], KEY)
-    return estimator.fit(weighted)
+        weighted = SP.weighted_resample(weighted, [], KEY)
+    return _penalised(estimator, rows).fit(weighted)
 
 
 def walk_forward(rows: DataFrame, models: dict[str, Callable[[], Estimator]], folds: list[dict],
@@ -114,6 +121,6 @@ def walk_forward(rows: DataFrame, models: dict[str, Callable[[], Estimator]], fo
 
 def deploy(estimator: Estimator, rows: DataFrame, path: str) -> PipelineModel:
     """Fit on the resolvable windows, save, and reload what a scoring job would read."""
-    weighted = SP.with_class_weight(rows.withColumn("_all", F.lit(0)), ["_all"])
-    Pipeline(stages=[estimator]).fit(weighted).write().overwrite().save(path)
+    weighted = SP.with_class_weight(rows, [])
+    Pipeline(stages=[_penalised(estimator, rows)]).fit(weighted).write().overwrite().save(path)
     return PipelineModel.load(path)

@@ -70,13 +70,12 @@ def track_record(predictions: DataFrame, outcomes: DataFrame, boundary: str) ->
 
 def report(outcomes: DataFrame) -> DataFrame:
     """Metric suite over resolved outcomes; a missing probability keeps its count but is not ranked."""
-    known = (outcomes.filter("resolved").withColumn("scope", F.lit("all"))
-             .withColumn("y_true", F.col("crash_occurred").cast("int")))
-    counts = known.groupBy("scope", "classification").agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy("scope").pivot(
-        "classification", ["TRUE_POSITIVE", "FALSE_POSITIVE", "FALSE_NEGATIVE", "TRUE_NEGATIVE"]).agg(F.sum("n")).na.fill(0)
-    ranked = M.metric_suite(known.filter("predicted_probability IS NOT NULL"), ["scope"], 0.5, "y_true", "predicted_probability")
-    return wide.join(ranked.select("scope", "pr_auc", "roc_auc", "brier", "positive_rate", "n_samples"), "scope", "left")
+    known = outcomes.filter("resolved").withColumn("y_true", F.col("crash_occurred").cast("int"))
+    kinds = ["TRUE_POSITIVE", "FALSE_POSITIVE", "FALSE_NEGATIVE", "TRUE_NEGATIVE"]
+    wide = known.agg(*[F.count(F.when(F.col("classification") == k, 1)).alias(k) for k in kinds], F.count(F.lit(1)).alias("_n"))
+    ranked = M.metric_suite(known.filter("predicted_probability IS NOT NULL"), [], 0.5, "y_true", "predicted_probability")
+    both = wide.filter("_n > 0").crossJoin(F.broadcast(ranked))       # two aggregates of one row each
+    return both.select(F.lit("all").alias("scope"), *kinds, "pr_auc", "roc_auc", "brier", "positive_rate", "n_samples")
 
 
 def ledger_view(predictions: DataFrame, outcomes: DataFrame, n: int = 200) -> DataFrame:

@@ -27,10 +27,10 @@ def duplicate_keys(panel: DataFrame) -> DataFrame:
 
 
 def require_empty(df: DataFrame, message: str) -> None:
-    """Raise when a check returned rows; at most ten are fetched for the message."""
+    """Raise when a check returned rows: their number, and ten of them as examples."""
     rows = df.take(10)
     if rows:
-        raise ValueError(f"{message}: {[r.asDict() for r in rows]}")
+        raise ValueError(f"{message}: {df.count()} in total, among them {[r.asDict() for r in rows]}")
 
 
 def trim_inception(panel: DataFrame, assets: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import settings as S
+from tidewatch.functions.ranks import attach
 from tidewatch.operators.windows import multiplicity
 
 KEY = ["asset", "window_end"]
+#: Mean copies of one part of a resampled row; exp of minus this is far from vanishing.
+PART_RATE = 500
 
 
 def fold_role(fold: dict, embargo: int = S.EMBARGO_DAYS) -> Column:
@@ -88,24 +91,28 @@ def fit_scaler(marked: DataFrame, folds: list[dict], features: list[str], embarg
     """Mean and population deviation per (fold, feature) over all rows of all training windows.
 
     Windows overlap, so each panel row is weighted by the number of training
-    windows that contain it instead of being repeated. Deviations are taken around
-    the overall mean to keep the sums small.
+    windows that contain it instead of being repeated. Sums are taken of what is
+    above the feature's mean over all rows, so large levels do not cancel the spread.
     """
+    pivots = marked.agg(F.array(*[F.coalesce(F.avg(F.col(f).cast("double")), F.lit(0.0)) for f in features])).scalar()
+    marked = marked.withColumn("_pivots", pivots)
     weighted = marked.withColumns({
         f"_m{i}": multiplicity(marked, fold_role(f, embargo) == "train") for i, f in enumerate(folds)})
     sizes = F.array(*[F.struct(F.lit(f["fold"]).alias("fold"), F.col(f"_m{i}").alias("copies"),
                                (F.col("emit") & (fold_role(f, embargo) == "train")).cast("long").alias("own"))
                       for i, f in enumerate(folds)])
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f).cast("double") - F.col("_pivots")[i]).alias("x"), F.col("_pivots")[i].alias("pivot"))
+                      for i, f in enumerate(features)])
     long = (weighted.select(F.explode(F.filter(sizes, lambda s: s["copies"] > 0)).alias("s"), cells.alias("c"))
             .select("s.fold", "s.copies", "s.own", F.explode("c").alias("c"))
-            .select("fold", "copies", "own", "c.feature", "c.x"))
+            .select("fold", "copies", "own", "c.feature", "c.x", "c.pivot"))
     w, x = F.col("copies"), F.col("x")
     stats = long.groupBy("fold", "feature").agg(
-        F.sum("own").alias("n_windows"), F.sum(w).alias("_w"), F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_q"))
-    mean = F.col("_s") / F.col("_w")
-    spread = F.sqrt(F.greatest(F.col("_q") / F.col("_w") - mean * mean, F.lit(0.0)))
-    return stats.select("fold", "feature", "n_windows", mean.alias("mean"),
+        F.sum("own").alias("n_windows"), F.sum(w).alias("_w"), F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_q"),
+        F.first("pivot").alias("_p"))
+    above = F.col("_s") / F.col("_w")
+    spread = F.sqrt(F.greatest(F.col("_q") / F.col("_w") - above * above, F.lit(0.0)))
+    return stats.select("fold", "feature", "n_windows", (F.col("_p") + above).alias("mean"),
                         F.when(spread > 1e-12, spread).otherwise(F.lit(1.0)).alias("scale"))
 
 
@@ -138,7 +145,7 @@ def class_weights(df: DataFrame, keys: list[str], label: str = "label") -> DataF
 
 
 def with_class_weight(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    return (df.join(class_weights(df, keys, label), keys)
+    return (attach(df, class_weights(df, keys, label), keys)
             .withColumn("weight", F.when(F.col(label) == 1, F.col("weight_1")).otherwise(F.col("weight_0")))
             .drop("weight_0", "weight_1"))
 
@@ -148,22 +155,29 @@ def weighted_resample(df: DataFrame, keys: list[str], ids: list[str], weight: st
 
     A row's number of copies is Poisson with mean n * weight / total: the limit of
     drawing n times, and independent per row. The uniform behind it is a hash of
-    the row's id and the seed, so the draw does not depend on partitioning.
+    the row's id and the seed, so the draw does not depend on partitioning. A large
+    mean is a sum of independent parts of ``PART_RATE`` at most, each with a hash of
+    its own, so that no part's first probability vanishes.
     """
     totals = df.groupBy(*keys).agg(F.sum(weight).alias("_t"), F.count(F.lit(1)).alias("_n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(2 ** 40)).cast("double") + 0.5) / 2.0 ** 40
-    rate = F.col("_n") * F.col(weight) / F.col("_t")
+    parts = F.greatest(F.ceil(F.col("_n") * F.col(weight) / F.col("_t") / PART_RATE), F.lit(1))
+    rate = F.col("_n") * F.col(weight) / F.col("_t") / F.col("_parts")
     # inverse CDF: count the steps k whose cumulative probability stays below u
     steps = F.sequence(F.lit(0), F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 20).cast("int"))
-    state = F.struct(F.exp(-F.col("_rate")).alias("p"), F.lit(0.0).alias("cum"), F.lit(0).alias("copies"))
-    def advance(s, k):
-        cum = s["cum"] + s["p"]
-        return F.struct((s["p"] * F.col("_rate") / (k + 1)).alias("p"), cum.alias("cum"),
-                        (s["copies"] + (cum <= F.col("_u")).cast("int")).alias("copies"))
-    drawn = (df.join(totals, keys).withColumns({"_u": u, "_rate": rate})
-             .withColumn("copies", F.aggregate(steps, state, advance, lambda s: s["copies"])))
+    def drawn_in(part):
+        plain = F.xxhash64(F.lit(seed), *ids)
+        mixed = F.when(part == 0, plain).otherwise(F.xxhash64(plain, part))
+        u = (F.pmod(mixed, F.lit(2 ** 40)).cast("double") + 0.5) / 2.0 ** 40
+        state = F.struct(F.exp(-F.col("_rate")).alias("p"), F.lit(0.0).alias("cum"), F.lit(0).alias("copies"), u.alias("u"))
+        def advance(s, k):
+            cum = s["cum"] + s["p"]
+            return F.struct((s["p"] * F.col("_rate") / (k + 1)).alias("p"), cum.alias("cum"),
+                            (s["copies"] + (cum <= s["u"]).cast("int")).alias("copies"), s["u"].alias("u"))
+        return F.aggregate(steps, state, advance, lambda s: s["copies"])
+    copies = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), F.lit(0), lambda n, part: n + drawn_in(part))
+    drawn = attach(df, totals, keys).withColumn("_parts", parts).withColumn("_rate", rate).withColumn("copies", copies)
     return (drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .drop("_t", "_n", "_u", "_rate", "copies"))
+            .drop("_t", "_n", "_parts", "_rate", "copies"))
 
 
 def weighted_log_loss(df: DataFrame, keys: list[str], y: str, p: str, weight: str | None = None,

@@ -436,19 +436,20 @@ def _(t):
     return H.psi(df.filter(old), df.filter(~old), ["asset"])
 
 
-_RECENT = ("2001-01-01", "2001-06-30")
+_RECENT_DAYS = 180
 cte("c_driftcells", "SELECT feature, value, side FROM (SELECT " + ", ".join(_OWN) + ", CASE WHEN window_end < DATE '2000-01-01' THEN 'r' ELSE 'c' END AS side "
-    f"FROM c_tensor WHERE window_end < DATE '2000-01-01' OR window_end BETWEEN DATE '{_RECENT[0]}' AND DATE '{_RECENT[1]}') UNPIVOT (value FOR feature IN (" + ", ".join(_OWN) + "))")
+    f"FROM c_tensor WHERE window_end < DATE '2000-01-01' OR window_end > (SELECT max(window_end) FROM c_tensor) - {_RECENT_DAYS}) UNPIVOT (value FOR feature IN (" + ", ".join(_OWN) + "))")
 cte("c_drift", "SELECT *, CASE WHEN psi IS NULL THEN 'unknown' WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'minor' ELSE 'stable' END AS severity FROM ("
     + _psi_sql("c_driftcells") + ")")
 
 
 def demo_drift(t):
-    """Drift between the training era and a recent half year, each row weighted by the windows holding it."""
+    """Drift between the training era and the latest 180 days, each row weighted by the windows holding it."""
     marked = staged(demo_marked(t), "marked")
     end = F.col("window_end")
     old = W.multiplicity(marked, end < F.lit("2000-01-01").cast("date"))
-    new = W.multiplicity(marked, end.between(*[F.lit(d).cast("date") for d in _RECENT]))
+    last = marked.filter("emit").agg(F.max("window_end")).scalar()
+    new = W.multiplicity(marked, end > F.date_sub(last, _RECENT_DAYS))
     weighted = staged(marked.withColumns({"_old": old, "_new": new}), "weighted")
     def side(w):
         return (P.unpivot(weighted.filter(F.col(w) > 0), _OWN, ["asset", "date", w])
@@ -462,12 +463,12 @@ def _(t):
 
 
 cte("c_trend", """
-SELECT *, slope < -0.01 AS declining FROM (SELECT model, count(*) AS n_folds, regr_slope(brier, i) AS slope, min_by(brier, i) AS first, max_by(brier, i) AS last
-FROM (SELECT model, brier, CAST(row_number() OVER (PARTITION BY model ORDER BY fold) - 1 AS DOUBLE) AS i FROM c_fold) GROUP BY model HAVING count(*) >= 3)""")
+SELECT *, slope < -0.01 AS declining FROM (SELECT model, count(*) AS n_folds, regr_slope(pr_auc, i) AS slope, min_by(pr_auc, i) AS first, max_by(pr_auc, i) AS last
+FROM (SELECT model, pr_auc, CAST(row_number() OVER (PARTITION BY model ORDER BY fold) - 1 AS DOUBLE) AS i FROM c_fold) GROUP BY model HAVING count(*) >= 3 AND count(pr_auc) = count(*))""")
 
 
 def demo_trend(t):
-    return H.trend(M.brier(t.scores, KEYS), "brier")
+    return H.trend(M.ranking(t.scores, KEYS), "pr_auc")
 
 
 @query("hl_trend", "SELECT model, INT8(n_folds) AS n_folds, R6(slope) AS slope, R6(first) AS first, R6(last) AS last, declining FROM c_trend")

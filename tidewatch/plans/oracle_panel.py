@@ -22,7 +22,7 @@ SELECT r.r_name AS asset, CAST(l.l_shipdate AS DATE) AS date,
   CAST(count(*) AS DOUBLE) AS trades,
   CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS taker_buy_base
 FROM (SELECT *, l_extendedprice / l_quantity AS p,
-        ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS k FROM lineitem) l
+        {'o': l_orderkey, 'n': l_linenumber, 'p': l_partkey, 's': l_suppkey} AS k FROM lineitem) l
 JOIN supplier s ON l.l_suppkey = s.s_suppkey
 JOIN nation n ON s.s_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey

@@ -70,8 +70,7 @@ class Inputs:
                   .select("l_suppkey", F.to_date("l_shipdate").alias("date"), "l_linestatus",
                           _cents("l_quantity").alias("qty"), _cents("l_extendedprice").alias("amount"),
                           (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"),
-                          (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey"))
-                           * 10000 + F.col("l_suppkey")).alias("k"))
+                          F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"))
                   .join(self.table("supplier").select("s_suppkey", "s_nationkey"),
                         F.col("l_suppkey") == F.col("s_suppkey"))
                   .join(self.table("nation").select("n_nationkey", "n_regionkey"),
