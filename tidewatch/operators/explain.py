@@ -22,6 +22,24 @@ def linear(tensor: DataFrame, coef: Column, background: Column) -> DataFrame:
     return df.select(*KEY, "label", F.zip_with("feats", "_coef", cell).alias("contrib"))
 
 
+def linear_model(rows: DataFrame, model: Model, background: Column, width: int) -> DataFrame:
+    """Contributions of a fitted linear classifier, per cell of the window: coefficient * (x - background).
+
+    ``rows`` holds flat feature vectors, ``background`` a flat array of their means over the training rows, ``width`` the
+    features per time step. ``base`` is the score of the background; base plus all contributions is ``logit``, the raw
+    score of the model.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    coef = F.lit([float(c) for c in model.coefficients])
+    x = vector_to_array("features")
+    cells = F.zip_with(F.zip_with(x, "_background", lambda a, b: a - b), coef, lambda d, k: d * k)
+    base = F.aggregate(F.zip_with("_background", coef, lambda b, k: b * k), F.lit(float(model.intercept)), lambda a, v: a + v)
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size("_cells") / width).cast("int") - 1), lambda t: F.slice("_cells", t * width + 1, width))
+    return (model.transform(rows).withColumn("_background", background).withColumn("_cells", cells)
+            .select(*KEY, "label", base.alias("base"), vector_to_array("rawPrediction")[1].alias("logit"), steps.alias("contrib")))
+
+
 def gradient_input(tensor: DataFrame, gradient: Column) -> DataFrame:
     """gradient * x per cell; for a linear score the gradient is its coefficients."""
     cell = lambda row, g: F.zip_with(row, g, lambda x, k: x * k)

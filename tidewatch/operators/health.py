@@ -24,7 +24,7 @@ def psi(reference: DataFrame, current: DataFrame, keys: list[str], value: str =
             .unionByName(current.select(*keys, value, F.lit(0).alias("_r"), w.alias("_c")))
             .filter(F.col(value).isNotNull()))
     inner = F.when(F.size("_e") >= 3, F.slice("_e", F.lit(2), F.size("_e") - 2)).otherwise(F.array().cast("array<double>"))
-    binned = (both.join(edges.withColumn("_inner", inner), keys)
+    binned = (both.join(F.broadcast(edges.withColumn("_inner", inner)), keys)     # one row of a few edges per feature
               .withColumn("_bin", F.size(F.filter("_inner", lambda e: e <= F.col(value))))
               .groupBy(*keys, "_bin").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"),
                                           F.max(F.size("_e")).alias("_edges")))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewatch.functions.canon import canonical_json, digest
 from tidewatch.functions.frames import col
 from tidewatch.sources.files import append_lines, read_lines
 
+MONTH = "as_of_month"
 # --- fixed values: fields every payload carries -----------------------------------
 PAYLOAD = {
     "prediction_id": "string", "asset": "string", "as_of_date": "string", "horizon_days": "integer",
@@ -50,18 +51,37 @@ def with_digest(df: DataFrame) -> DataFrame:
 
 
 def append_predictions(new: DataFrame, path: str, schema: StructType | str) -> None:
-    """Append predictions whose id the ledger does not hold yet; existing records are never touched."""
+    """Append predictions whose id the ledger does not hold yet; existing records are never touched.
+
+    The ledger is divided by the month of the as-of date, which the id is made of, so an append reads only the months
+    it writes to.
+    """
     spark = new.sparkSession
-    fresh = new.dropDuplicates(["prediction_id"])
+    fresh = new.dropDuplicates(["prediction_id"]).withColumn(MONTH, F.coalesce(F.substring("as_of_date", 1, 7), F.lit("unknown")))
     if _exists(spark, path):
-        known = read_lines(spark, path, schema).select("prediction_id").distinct()
+        months = [r[0] for r in fresh.select(MONTH).distinct().collect()]     # as many as months appended
+        known = read_lines(spark, path, _with_month(schema)).filter(F.col(MONTH).isin(months)).select("prediction_id").distinct()
         fresh = fresh.join(known, "prediction_id", "left_anti")
-    append_lines(fresh, path)
+    append_lines(fresh, path, [MONTH])
+
+
+def read_predictions(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The ledger's records, without the column it is divided by."""
+    return read_lines(spark, path, _with_month(schema)).drop(MONTH)
+
+
+def _with_month(schema: StructType | str) -> StructType:
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return StructType([*fields.fields, StructField(MONTH, StringType())])
 
 
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Outcomes and runs are records of their own."""
-    append_lines(outcomes, path)
+    """Outcomes are records of their own; one that is there already is not written again, so a replay is harmless."""
+    fresh = outcomes.dropDuplicates(["prediction_id"])
+    if _exists(outcomes.sparkSession, path):
+        known = read_lines(outcomes.sparkSession, path, outcomes.schema).select("prediction_id").distinct()
+        fresh = fresh.join(known, "prediction_id", "left_anti")
+    append_lines(fresh, path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -128,7 +128,7 @@ def scale_windows(tensor: DataFrame, arrays: DataFrame) -> DataFrame:
     """(x - mean) / scale on every row of ``feats``; refuses a fold without fitted statistics."""
     def one(row, means, scales):
         return F.zip_with(F.zip_with(row, means, lambda x, m: x - m), scales, lambda d, s: d / s)
-    joined = tensor.join(arrays, "fold", "left").withColumn(
+    joined = tensor.join(F.broadcast(arrays), "fold", "left").withColumn(      # one row per fold
         "means", F.when(F.col("means").isNotNull(), F.col("means"))
         .otherwise(F.raise_error(F.lit("scaler not fitted for this fold")).cast("array<double>")))
     return (joined.withColumn("feats", F.transform("feats", lambda r: one(r, F.col("means"), F.col("scales"))))

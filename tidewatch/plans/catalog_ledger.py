@@ -174,7 +174,7 @@ def _(t):
     return FI.load_panel(t.spark, path, targets).select("asset", "date", "close", *S.TECHNICAL, "label")
 
 
-@query("sink_result_tables")
+@query("sink_result_tables", "SELECT fold, model, R6(pr_auc) AS pr_auc, R6(f1) AS f1, R6(brier) AS brier, INT8(n_samples) AS n_samples FROM c_fold")
 def _(t):
     path = scratch_path(t.spark, "per-fold")
     df = M.metric_suite(t.scores, KEYS).select(*KEYS, "pr_auc", "f1", "brier", "n_samples")
@@ -182,11 +182,15 @@ def _(t):
     return FI.read_table(t.spark, path, "fold string, model string, pr_auc double, f1 double, brier double, n_samples bigint")
 
 
-@query("windows_store")
+@query("windows_store", "SELECT asset, DAY(window_end) AS window_end, INT8(count(*)) AS n_rows, " + ", ".join(f"R6(sum({c})) AS sum_{c}" for c in _OWN)
+       + " FROM c_tensor GROUP BY asset, window_end")
 def _(t):
+    """Every stored value counts: the sums of all columns over each window's rows."""
     path = scratch_path(t.spark, "windows")
     FI.write_windows(W.window_tensor(demo_marked(t), _OWN), path)
-    return t.spark.read.parquet(path).select("asset", "window_end", "label", F.size("feats").alias("n_rows"))
+    total = F.aggregate(F.slice("feats", F.lit(2), F.size("feats") - 1), F.element_at("feats", 1), lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
+    stored = t.spark.read.parquet(path).withColumn("_t", total)
+    return stored.select("asset", "window_end", F.size("feats").alias("n_rows"), *[F.col("_t")[i].alias(f"sum_{c}") for i, c in enumerate(_OWN)])
 
 
 # --- demo predictions ---------------------------------------------------------------------
@@ -250,7 +254,7 @@ def _(t):
     LG.append_predictions(first.filter("asset = 'ASIA'"), path, LEDGER_SCHEMA)
     again = first.withColumn("run", F.lit("second"))
     LG.append_predictions(again.unionByName(again), path, LEDGER_SCHEMA)
-    return FI.read_lines(t.spark, path, LEDGER_SCHEMA)
+    return LG.read_predictions(t.spark, path, LEDGER_SCHEMA)
 
 
 @query("ledger_read", """
@@ -263,12 +267,14 @@ def _(t):
     return FI.read_lines(t.spark, path, LEDGER_SCHEMA)
 
 
-@query("ledger_outcome_append")
+@query("ledger_outcome_append", """
+SELECT prediction_id, asset, as_of_date, severity_band AS predicted_band, R6(probability) AS predicted_probability,
+ R6(dd) AS actual_max_drawdown, crashed AS crash_occurred, classification, resolved FROM c_outcomes""")
 def _(t):
     path = scratch_path(t.spark, "outcomes")
     outcomes = staged(OC.resolve(demo_preds(t), t.bars, THRESHOLD), "outcomes")
     LG.append_outcomes(OC.matured(outcomes, "1999-01-01"), path)
-    LG.append_outcomes(outcomes.join(OC.matured(outcomes, "1999-01-01").select("prediction_id"), "prediction_id", "left_anti"), path)
+    LG.append_outcomes(outcomes, path)      # those of the first append are there already
     return FI.read_lines(t.spark, path, outcomes.schema).drop("horizon_days")
 
 

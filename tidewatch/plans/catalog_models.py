@@ -6,6 +6,8 @@ too, with fewer rounds than the builders' defaults: at full size either takes ov
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from tidewatch import settings as S
@@ -87,6 +89,22 @@ def _(t):
                                         MO.probability().alias("y_score"))
 
 
+@query("at_linear_model")
+def _(t):
+    """The fitted logistic regression of every fold explained on its test windows: per feature, summed over the window."""
+    rows = _rows(t, I.FOLDS)
+    out = None
+    for fold in I.FOLDS:
+        mine = rows.filter(F.col("fold") == fold["fold"])
+        train = mine.filter("role = 'train'")
+        model = MO.fit(MO.logreg(), train)
+        means = train.agg(Summarizer.mean(F.col("features")).alias("m")).select(vector_to_array("m")).scalar()
+        cells = E.linear_model(mine.filter("role = 'test'"), model, means, len(FEATURES))
+        part = E.per_feature(cells, FEATURES).join(cells.select("asset", "window_end", "base", "logit"), ["asset", "window_end"]).withColumn("fold", F.lit(fold["fold"]))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("at_tree_occlusion")
 def _(t):
     panel = staged(demo_panel(t, cross_asset=True), "panel")
