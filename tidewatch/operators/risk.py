@@ -25,6 +25,19 @@ def percentiles(panel: DataFrame, features: list[str]) -> DataFrame:
     return ranked.withColumn("percentile", F.col("rank_le") / F.col("rank_n"))
 
 
+def percentiles_at(panel: DataFrame, features: list[str], points: DataFrame) -> DataFrame:
+    """The same for the rows at a few ``points (asset, date)`` only: each is compared with its own asset's history by one
+    pass of counts over all features. Work is points times days of an asset; for every row use :func:`percentiles`."""
+    now = panel.join(points.select(*POINT).distinct(), POINT).select(*POINT, *[F.col(f).cast("double").alias(f"_now_{f}") for f in features])
+    past = panel.select("asset", F.col("date").alias("_then"), *[F.col(f).cast("double").alias(f) for f in features])
+    pairs = past.join(now, "asset").filter("_then <= date")
+    counts = [F.struct(F.lit(f).alias("feature"), F.max(f"_now_{f}").alias("value"),
+                       F.sum((F.col(f) <= F.col(f"_now_{f}")).cast("long")).alias("rank_le"),
+                       F.sum((F.col(f) < F.col(f"_now_{f}")).cast("long")).alias("rank_lt"), F.count(f).alias("rank_n")) for f in features]
+    rows = pairs.groupBy(*POINT).agg(F.array(*counts).alias("_all")).select(*POINT, F.explode("_all").alias("_f")).select(*POINT, "_f.*")
+    return rows.filter(F.col("value").isNotNull()).withColumn("percentile", F.col("rank_le") / F.col("rank_n"))
+
+
 def band(score: Column | str, bands: dict[str, float] = S.BANDS) -> Column:
     score = F.col(score) if isinstance(score, str) else score
     return (F.when(score.isNull(), "INSUFFICIENT_EVIDENCE").when(score >= bands["critical"], "CRITICAL")

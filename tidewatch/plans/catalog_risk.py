@@ -307,8 +307,8 @@ SELECT *, CASE WHEN n >= 2 THEN (0.5 + 0.5 * consensus) * conf ELSE 0 END AS con
 
 def demo_chain(t, analogues=True):
     panel = staged(_panel(t), "panel")
-    pct = staged(R.percentiles(panel, SIGNALS), "percentiles")
     points = staged(latest_dates(panel, decision_points(t.cycles, t.assets)), "points")
+    pct = staged(R.percentiles_at(panel, SIGNALS, points), "percentiles")
     best = None
     if analogues:
         vectors = _last_rows(panel, _AF)
@@ -405,10 +405,8 @@ def _(t):
 @query("rk_pipeline")
 def _(t):
     chain = demo_chain(t)
-    doubt = chain.doubt()
-    decided = R.decide(chain.preliminary(), doubt)
-    told = R.narrative(decided, chain.drivers(), chain.reports, doubt).select("asset", "date", "text")
-    return chain.at_points(decided.join(told, ["asset", "date"]))
+    told = chain.narratives().select("asset", "date", "text")
+    return chain.at_points(chain.decisions().join(told, ["asset", "date"]))
 
 
 # --- health over the chain ---------------------------------------------------------------------

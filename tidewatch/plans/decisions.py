@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ class Chain:
     """Panel -> percentiles -> component reports -> orchestration -> doubt -> decision.
 
     A decision date takes the latest row at or before it, so only those rows get
-    reports. The reports feed several later steps and are written once.
+    reports. What feeds several later steps is written once.
     """
 
     def __init__(self, panel: DataFrame, pct: DataFrame, predictions: DataFrame, points: DataFrame,
@@ -29,21 +31,28 @@ class Chain:
             out = out.unionByName(component(keys, pct), allowMissingColumns=True)
         self.reports = staged(out, "reports")
 
+    @cached_property
+    def _preliminary(self) -> DataFrame:
+        return staged(R.orchestrate(self.reports), "preliminary")
+
+    @cached_property
+    def _doubt(self) -> DataFrame:
+        return staged(R.skeptic(self._preliminary, self.reports, R.context(self.panel, self.pct), self.analogues), "doubt")
+
     def preliminary(self) -> DataFrame:
-        return R.orchestrate(self.reports)
+        return self._preliminary
 
     def doubt(self) -> DataFrame:
-        return R.skeptic(self.preliminary(), self.reports, R.context(self.panel, self.pct), self.analogues)
+        return self._doubt
 
     def decisions(self) -> DataFrame:
-        return R.decide(self.preliminary(), self.doubt())
+        return R.decide(self._preliminary, self._doubt)
 
     def drivers(self) -> DataFrame:
         return R.drivers(self.reports)
 
     def narratives(self) -> DataFrame:
-        doubt = self.doubt()
-        return R.narrative(R.decide(self.preliminary(), doubt), self.drivers(), self.reports, doubt)
+        return R.narrative(self.decisions(), self.drivers(), self.reports, self._doubt)
 
     def at_points(self, df: DataFrame) -> DataFrame:
         """Rows per (asset, as_of) instead of per panel date."""
