@@ -38,7 +38,7 @@ GRAM = 32
 #: Bytes of text whose windows are marked at once, and of runs that one suffix array holds.
 CHUNK, SHARD = 1 << 20, 1 << 20
 #: Distinct runs from which an anchor is divided, and window starts per part.
-CROWDED, PART = 5_000, 8
+CROWDED, PART = 500, 8
 BASE = 0xD6E8FEB86659FD93
 _BYTES = _mixed(np.arange(256) + 1009)
 
