@@ -51,6 +51,7 @@ class Shape:
     blocks: int = 5
     equal: int = 2
     radius: int = 3
+    distinct: bool = False     # count each shingle of a text once
 
     def masks(self) -> list[int]:
         cuts = [round(64 * k / self.blocks) for k in range(self.blocks + 1)]
@@ -62,7 +63,8 @@ EXACT = Shape()
 #: Five-word shingles at a similarity of 0.8 or more. Shingle sets of similarity 0.8 have a cosine of 0.89, so 15 % of the
 #: bits differ: 77 of 512, with a standard deviation of 8. One of 32 blocks of 16 bits is equal with probability 0.91 at
 #: 0.8, 0.98 at 0.85 and 0.998 at 0.9; the radius is one standard deviation above the mean.
-SIMILAR = Shape(words=5, lanes=8, blocks=4, equal=1, radius=86)
+#: Each shingle counts once, as in that similarity, so that a line repeated in two texts does not make them alike.
+SIMILAR = Shape(words=5, lanes=8, blocks=4, equal=1, radius=86, distinct=True)
 
 
 def fingerprint(raw: bytes, shape: Shape) -> np.ndarray:
@@ -75,6 +77,8 @@ def fingerprint(raw: bytes, shape: Shape) -> np.ndarray:
     digest, k = xxhash.xxh64_intdigest, shape.words
     shingles = (b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1)))
     hashes = np.fromiter((digest(s, 42) for s in shingles), dtype=np.uint64)
+    if shape.distinct:
+        hashes = np.unique(hashes)
     lanes = np.zeros(shape.lanes, dtype=np.uint64)
     for lane in range(shape.lanes):
         with np.errstate(over="ignore"):
