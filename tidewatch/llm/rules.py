@@ -171,7 +171,11 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Da
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. A missing stratum column counts as missing values."""
-    both = tables.staged_small(measured(docs if stratum in docs.columns else docs.withColumn(stratum, F.lit(None).cast("string"))), "rule-measured")
-    limits = tables.staged_small(cutoffs(tested(both, labels, stratum)), "rule-cutoffs")
-    return judged(both, limits, stratum).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the rules keep, with all their columns. A missing stratum column counts as missing values.
+
+    Texts are measured twice, once for the cutoffs and once for the verdicts, so that no copy of them is written.
+    """
+    every = docs if stratum in docs.columns else docs.withColumn(stratum, F.lit(None).cast("string"))
+    small = tables.staged_small(measured(every.select("doc_id", "text", stratum)).drop("text"), "rule-counts")
+    limits = tables.staged_small(cutoffs(tested(small, labels, stratum)), "rule-cutoffs")
+    return judged(measured(every, "_measured"), limits, stratum, "_measured").where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
