@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -92,28 +95,33 @@ def fit(estimator: Estimator, rows: DataFrame, resample: bool = False) -> Model:
     return _penalised(estimator, rows).fit(weighted)
 
 
+def at_once(jobs: list, fn: Callable, parallelism: int = 4) -> list:
+    """``fn`` of every job, a few at a time: fits are many short Spark jobs, which leave cores idle one after the other."""
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(fn), jobs)
+
+
 def walk_forward(rows: DataFrame, models: dict[str, Callable[[], Estimator]], folds: list[dict],
                  embargo: int = S.EMBARGO_DAYS) -> DataFrame:
     """Fit every model on every fold, calibrate its threshold on later training windows, score the test windows.
 
     ``rows`` comes from ``training_rows``. The split of all folds is written once,
-    by fold, so each fit reads only its own files. The loop is over the few
-    (model, fold) pairs; each fit and transform is a distributed job, and all
-    thresholds come from one pass over the calibration scores.
+    by fold, so each fit reads only its own files. The few (model, fold) pairs are
+    fitted a few at a time, each as distributed jobs, and all thresholds come from
+    one pass over the calibration scores.
     """
     columns = ["fold", "part", *KEY, "label", "features"]
     parts = staged(SP.calibration(rows, embargo).select(columns).unionByName(
         rows.filter("role = 'test'").withColumn("part", F.lit("test")).select(columns)), "parts", ["fold"])
-    scored = None
-    for fold in folds:
-        mine = parts.filter(F.col("fold") == fold["fold"])
-        for name, build in models.items():
-            model = fit(build(), mine.filter("part = 'fit'"))
-            out = model.transform(mine.filter("part <> 'fit'")).select(
-                "fold", F.lit(name).alias("model"), "part", F.col("window_end").alias("date"), "asset",
-                F.col("label").cast("long").alias("y_true"), probability().alias("y_score"))
-            scored = out if scored is None else scored.unionByName(out)
-    scored = staged(scored, "scored")
+    def one(pair: tuple[str, str]) -> DataFrame:
+        mine = parts.filter(F.col("fold") == pair[0])
+        model = fit(models[pair[1]](), mine.filter("part = 'fit'"))
+        return model.transform(mine.filter("part <> 'fit'")).select(
+            "fold", F.lit(pair[1]).alias("model"), "part", F.col("window_end").alias("date"), "asset",
+            F.col("label").cast("long").alias("y_true"), probability().alias("y_score"))
+
+    outs = at_once([(f["fold"], name) for f in folds for name in models], one)
+    scored = staged(reduce(DataFrame.unionByName, outs), "scored")
     limits = M.best_threshold(scored.filter("part = 'calibrate'"), ["fold", "model"]).select("fold", "model", "threshold")
     return (scored.filter("part = 'test'").drop("part").join(limits, ["fold", "model"], "left")
             .withColumn("threshold", F.coalesce("threshold", F.lit(0.5))))

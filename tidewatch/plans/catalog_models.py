@@ -6,8 +6,11 @@ too, with fewer rounds than the builders' defaults: at full size either takes ov
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import settings as S
@@ -39,14 +42,14 @@ def _rows(t, folds):
 def _fit_all(t, build, resample=False):
     """Every fold: fit on its training windows, score its test windows."""
     rows = _rows(t, I.FOLDS)
-    scored = None
-    for fold in I.FOLDS:
+
+    def one(fold):
         mine = rows.filter(F.col("fold") == fold["fold"])
         model = MO.fit(build(), mine.filter("role = 'train'"), resample)
-        out = model.transform(mine.filter("role = 'test'")).select(
+        return model.transform(mine.filter("role = 'test'")).select(
             "fold", "asset", "window_end", F.col("label").cast("long").alias("label"), MO.probability().alias("y_score"))
-        scored = out if scored is None else scored.unionByName(out)
-    return scored
+
+    return reduce(DataFrame.unionByName, MO.at_once(I.FOLDS, one))
 
 
 @query("m_logreg")
@@ -93,16 +96,16 @@ def _(t):
 def _(t):
     """The fitted logistic regression of every fold explained on its test windows: per feature, summed over the window."""
     rows = _rows(t, I.FOLDS)
-    out = None
-    for fold in I.FOLDS:
+
+    def one(fold):
         mine = rows.filter(F.col("fold") == fold["fold"])
         train = mine.filter("role = 'train'")
         model = MO.fit(MO.logreg(), train)
         means = train.agg(Summarizer.mean(F.col("features")).alias("m")).select(vector_to_array("m")).scalar()
         cells = E.linear_model(mine.filter("role = 'test'"), model, means, len(FEATURES))
-        part = E.per_feature(cells, FEATURES).join(cells.select("asset", "window_end", "base", "logit"), ["asset", "window_end"]).withColumn("fold", F.lit(fold["fold"]))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return E.per_feature(cells, FEATURES).join(cells.select("asset", "window_end", "base", "logit"), ["asset", "window_end"]).withColumn("fold", F.lit(fold["fold"]))
+
+    return reduce(DataFrame.unionByName, MO.at_once(I.FOLDS, one))
 
 
 @query("at_tree_occlusion")
