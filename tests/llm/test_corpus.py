@@ -58,7 +58,9 @@ def test_cutoffs_keep_good_documents(spark):
 
 def test_rules_on_nothing(docs, nothing, labels):
     assert rules.apply_rules(nothing, labels).count() == 0
-    assert rules.keep(docs, labels.limit(0)).columns == docs.columns
+    kept = rules.keep(docs, labels)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).isEmpty() and kept.count() > 5
+    assert rules.keep(docs.drop("lang"), labels).count() == rules.keep(docs, labels.limit(0)).count()
 
 
 # Classifier
@@ -150,7 +152,7 @@ def test_similar_documents_leave_one(spark, docs):
     kept = sorted(r.doc_id for r in simhash.keep_one(made).collect())
     assert kept == [50] + list(range(70, 90))
     out = simhash.keep_one(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
     ids = [r.doc_id for r in out.collect()]
     assert ids.count(15) == 1 and 4 not in ids and 1 in ids and ids.count(None) == 2
 

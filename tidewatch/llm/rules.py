@@ -175,7 +175,8 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame
 
     Texts are measured twice, once for the cutoffs and once for the verdicts, so that no copy of them is written.
     """
-    every = docs if stratum in docs.columns else docs.withColumn(stratum, F.lit(None).cast("string"))
-    small = tables.staged_small(measured(every.select("doc_id", "text", stratum)).drop("text"), "rule-counts")
+    group = F.col(f"`{stratum}`") if stratum in docs.columns else F.lit(None).cast("string")
+    every = docs.select(tables.whole_row(docs), "doc_id", "text", group.alias(stratum))     # so that no column name can clash
+    small = tables.staged_small(measured(every.drop("_whole")).drop("text"), "rule-counts")
     limits = tables.staged_small(cutoffs(tested(small, labels, stratum)), "rule-cutoffs")
-    return judged(measured(every, "_measured"), limits, stratum, "_measured").where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(measured(every), limits, stratum).where("_kept").select("_whole.*")

@@ -303,7 +303,8 @@ def keep_one(docs: DataFrame, shape: Shape = SIMILAR) -> DataFrame:
     stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     from pyspark.sql import Window
 
-    named = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).join(stays, "_id")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text"), "text"))
-    one = named.withColumn("_row", first).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), tables.whole_row(docs)).join(stays, "_id")
+    text = F.col("_whole.text")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(text), text))
+    one = named.withColumn("_first", first).where("_first = 1").select("_whole.*")
     return one.unionByName(docs.where("doc_id is null"))

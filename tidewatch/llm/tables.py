@@ -23,6 +23,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``_whole``, out of the way of columns that an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole")
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions for shuffles of whole texts: the session's setting, which the cluster sizes to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
