@@ -57,7 +57,8 @@ def append_predictions(new: DataFrame, path: str, schema: StructType | str) -> N
     it writes to.
     """
     spark = new.sparkSession
-    fresh = new.dropDuplicates(["prediction_id"]).withColumn(MONTH, F.coalesce(F.substring("as_of_date", 1, 7), F.lit("unknown")))
+    month = F.substring("as_of_date", 1, 7) if "as_of_date" in new.columns else F.lit(None).cast("string")
+    fresh = new.dropDuplicates(["prediction_id"]).withColumn(MONTH, F.coalesce(month, F.lit("unknown")))
     if _exists(spark, path):
         months = [r[0] for r in fresh.select(MONTH).distinct().collect()]     # as many as months appended
         known = read_lines(spark, path, _with_month(schema)).filter(F.col(MONTH).isin(months)).select("prediction_id").distinct()
