@@ -157,6 +157,59 @@ def test_similar_documents_leave_one(spark, docs):
     assert ids.count(15) == 1 and 4 not in ids and 1 in ids and ids.count(None) == 2
 
 
+def shingles_of(text):
+    words = text.split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_have_the_similarity_itself(spark):
+    """Pairs planted around 0.75, 0.80 and 0.85: none below 0.8 is linked, and almost all from 0.8 on are."""
+    pairs, texts = [], []
+    for k in range(450):
+        words = prose(2000 + k, 300).split()
+        changed = (8, 6, 5)[k % 3]                         # five shingles go with each word and five come: 0.76, 0.82, 0.84
+        step = 300 // changed
+        other = [f"z{i}" if i % step == step // 2 and i // step < changed else w for i, w in enumerate(words)]
+        if k % 3 == 1:                                     # down to 0.80
+            other = other[3:]
+        a, b = " ".join(words), " ".join(other)
+        pairs.append((2 * k, 2 * k + 1, jaccard(shingles_of(a), shingles_of(b))))
+        texts += [(2 * k, a), (2 * k + 1, b)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert kept >= {a for a, _, _ in pairs}
+    below = [b in kept for _, b, j in pairs if j < 0.8]
+    near = [b not in kept for _, b, j in pairs if 0.8 <= j < 0.83]
+    nearer = [b not in kept for _, b, j in pairs if j >= 0.83]
+    assert min(len(below), len(near), len(nearer)) >= 140
+    assert all(below) and sum(near) >= 0.96 * len(near) and sum(nearer) >= 0.98 * len(nearer)
+
+
+@pytest.mark.parametrize("most", [4_000_000, 1_000])
+def test_families_of_templated_texts_against_brute_force(spark, monkeypatch, most):
+    """Texts of one template are not chained together by links below 0.8; with the small limit every family is split."""
+    monkeypatch.setattr(simhash, "SHINGLES", most)
+    r = np.random.default_rng(9)
+    texts = []
+    for family in range(12):
+        base = prose(5000 + family, 250).split()
+        for k in range(12):
+            spots = set(r.integers(0, 250, r.integers(1, 9)).tolist())
+            texts.append((100 * family + k, " ".join(f"y{family}x{k}x{i}" if i in spots else w for i, w in enumerate(base))))
+    sets = [shingles_of(t) for _, t in texts]
+    forest = simhash.Forest()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if jaccard(a, sets[j]) >= 0.8:
+                forest.join(texts[i][0], texts[j][0])
+    want = {forest.root(d) for d, _ in texts}
+    assert 12 < len(want) < 130
+    assert {x.doc_id for x in simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()} == want
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1100)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}

@@ -11,7 +11,8 @@ about fingerprints within ``radius`` bits of each other drive the search:
 
 With one lane, five blocks and two equal ones, radius 3 is exact: three differing bits spoil three blocks at most. With
 several lanes the blocks of each lane make keys of their own, and the search finds similar documents with a probability
-that the numbers of lanes and blocks set (see ``SIMILAR``).
+that the numbers of lanes and blocks set (see ``SIMILAR``). There the bits only make candidates: the documents of a group
+of candidates are compared by their whole shingle sets, and only links that hold there make components (:func:`verified`).
 
 Only distinct fingerprints are compared, so copies cost nothing. A bucket yields a spanning forest of its links, never all
 pairs: small buckets are compared as sorted runs, in large ones points are probed one by one until all points not yet
@@ -24,7 +25,7 @@ document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +41,8 @@ REFERENCES = 16
 BUCKET = 20_000
 #: Buckets up to this size are compared as runs.
 RUN = 64
+#: Shingles that one task verifies at most in one group of candidates, give or take; larger groups are split.
+SHINGLES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,7 @@ class Shape:
     equal: int = 2
     radius: int = 3
     distinct: bool = False     # count each shingle of a text once
+    carried: int = 0           # lanes that go to the buckets and that the radius is about; 0: all
 
     def masks(self) -> list[int]:
         cuts = [round(64 * k / self.blocks) for k in range(self.blocks + 1)]
@@ -60,26 +64,43 @@ class Shape:
 
 #: The contract of the query: three-word shingles, three bits.
 EXACT = Shape()
-#: Five-word shingles at a similarity of 0.8 or more. Shingle sets of similarity 0.8 have a cosine of 0.89, so 15 % of the
-#: bits differ: 77 of 512, with a standard deviation of 8. One of 32 blocks of 16 bits is equal with probability 0.91 at
-#: 0.8, 0.98 at 0.85 and 0.998 at 0.9; the radius is one standard deviation above the mean.
+#: Candidates for a similarity of 0.8 or more of the sets of five-word shingles. Sets of similarity 0.8 have a cosine of 0.89,
+#: so 15 % of the bits differ. One of 56 blocks of 16 bits is equal with probability 0.985 at 0.8 and 0.998 at 0.85. Of the
+#: 256 bits in the buckets 39 differ, with a standard deviation of 5.7; the radius is 3.7 deviations above the mean.
 #: Each shingle counts once, as in that similarity, so that a line repeated in two texts does not make them alike.
-SIMILAR = Shape(words=5, lanes=8, blocks=4, equal=1, radius=86, distinct=True)
+SIMILAR = Shape(words=5, lanes=14, blocks=4, equal=1, radius=60, distinct=True, carried=4)
 
 
-def fingerprint(raw: bytes, shape: Shape) -> np.ndarray:
-    """The lanes of one text. Shingles are hashed by XXH64 with seed 42; further lanes mix that hash anew."""
+def shingle_hashes(raw: bytes, shape: Shape) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle of a text, in order of place, or of its distinct shingles in ascending order."""
     import xxhash
 
     words = raw.lower().split()      # bytes: only A-Z are lowered, only space and the controls 9 to 13 separate
     if not words:
-        return np.zeros(shape.lanes, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     digest, k = xxhash.xxh64_intdigest, shape.words
     shingles = (b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1)))
     hashes = np.fromiter((digest(s, 42) for s in shingles), dtype=np.uint64)
-    if shape.distinct:
-        hashes = np.unique(hashes)
+    return np.unique(hashes) if shape.distinct else hashes
+
+
+def set_number(hashes: np.ndarray) -> int:
+    """A signed 64-bit number of a set of shingles."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 43) - (1 << 63)
+
+
+def fingerprint(raw: bytes, shape: Shape) -> np.ndarray:
+    """The lanes of one text: those of its shingles."""
+    return lanes_from(shingle_hashes(raw, shape), shape)
+
+
+def lanes_from(hashes: np.ndarray, shape: Shape) -> np.ndarray:
+    """A bit of the first lane is what most hashes have there; further lanes mix the hashes anew. Zero without hashes."""
     lanes = np.zeros(shape.lanes, dtype=np.uint64)
+    if not len(hashes):
+        return lanes
     for lane in range(shape.lanes):
         with np.errstate(over="ignore"):
             own = _mixed(hashes + np.uint64(lane) * np.uint64(0xD1342543DE82EF95)) if lane else hashes
@@ -211,16 +232,18 @@ def link_large(fps: np.ndarray, nodes: np.ndarray, forest: Forest, radius: int,
 def links(distinct: DataFrame, shape: Shape) -> DataFrame:
     """``a, b`` of a spanning forest of each task's links between distinct fingerprints (``fp, node``)."""
     spark = distinct.sparkSession
+    whole, shape = shape, replace(shape, lanes=shape.carried or shape.lanes)
 
     def keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 raw = part.column("fp").to_pylist()
-                keys = bucket_keys(lanes_of(raw, shape), shape).astype(np.int64)
+                keys = bucket_keys(lanes_of(raw, whole), whole).astype(np.int64)
                 n = keys.shape[1]
                 rows = np.repeat(np.arange(len(raw)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column("node").take(pa.array(rows)), part.column("fp").take(pa.array(rows))], names=["key", "node", "fp"])
+                carried = pa.array([fp[:8 * shape.lanes] for fp in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column("node").take(pa.array(rows)), carried.take(pa.array(rows))], names=["key", "node", "fp"])
 
     rows = distinct.select("node", "fp").mapInArrow(keyed, "key long, node long, fp binary")
     large = tables.staged_small(rows.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts")), "large-buckets")
@@ -296,11 +319,114 @@ def near_duplicates(docs: DataFrame, shape: Shape = EXACT) -> DataFrame:
     return some.unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
+def _alike(sets: list[np.ndarray], nodes: np.ndarray, forest: Forest) -> None:
+    """Links of similarity 0.8 or more between the given sets of shingles: each probe counts what one set shares with every
+    other. Pairs that were never probed are left uncounted only if one component already holds them both."""
+    sizes = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    label = np.arange(len(sets))
+    probed = np.zeros(len(sets), dtype=bool)
+    while True:
+        open_ = np.flatnonzero(~probed)
+        if not len(open_):
+            return
+        largest = open_[np.flatnonzero(label[open_] == np.bincount(label[open_]).argmax())[0]]
+        rest = open_[label[open_] != label[largest]]
+        if not len(rest):
+            return
+        for point in rest[:256]:
+            if label[point] == label[largest]:     # joined it meanwhile
+                continue
+            probed[point] = True
+            low, high = np.searchsorted(every, sets[point]), np.searchsorted(every, sets[point], side="right")
+            held = high - low
+            at = np.arange(held.sum()) + np.repeat(low - (np.cumsum(held) - held), held)
+            common = np.bincount(owner[at], minlength=len(sets))
+            # common / (a + b - common) >= 4 / 5
+            for hit in np.flatnonzero((9 * common >= 4 * (sizes + sizes[point])) & (label != label[point])):
+                if label[hit] != label[point]:
+                    forest.join(int(nodes[point]), int(nodes[hit]))
+                    label[label == label[hit]] = label[point]
+
+
+def verified(docs: DataFrame, candidates: DataFrame, shape: Shape) -> DataFrame:
+    """``a, b`` of a spanning forest of each task's links between the distinct shingle sets of ``candidates (node, least, n,
+    root)``: all those of one root are compared with each other by the sets themselves, read again from document ``least``."""
+    spark = docs.sparkSession
+    groups = candidates.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("parts"))
+    dealt = tables.staged_small(candidates.join(groups, "root").select("node", "root", "parts", F.col("least").alias("_id")), "candidates")
+    ids = dealt.select("_id").distinct()
+    # Up to a million ids go to where the texts are.
+    wanted = tables.texts(docs).join(F.broadcast(ids) if dealt.count() <= 1_000_000 else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+
+    def hashed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            sets = [shingle_hashes(t.encode(), shape) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_number(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["_id", "node", "hashes"])
+
+    # Rows that share an id may hold several texts, of which only the candidate is meant.
+    sets = wanted.mapInArrow(hashed, "_id long, node long, hashes binary").join(dealt, ["_id", "node"])
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # Each part of a large group meets each other one, itself included, in a unit of its own.
+    rows = sets.withColumn("own", own).withColumn("other", other)
+    rows = rows.select("root", (F.greatest("own", "other").cast("long") * 2147483648 + F.least("own", "other")).alias("unit"), "node", "hashes")
+    ordered = rows.repartition(tables.partitions(spark), "root", "unit").sortWithinPartitions("root", "unit", "node")
+
+    def linked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple[int, int] | None = None
+        held: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            made: list[tuple[int, int]] = []
+            forest = Forest()
+            join = forest.join
+            forest.join = lambda a, b: join(a, b) and not made.append((a, b))  # type: ignore[method-assign]
+            if len(held) > 1:
+                _alike(list(held.values()), np.array(list(held), dtype=np.int64), forest)
+            for at in range(0, len(made), 50_000):
+                a, b = zip(*made[at:at + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in stream:
+            for root, unit, node, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "unit", "node", "hashes")), strict=True):
+                if (root, unit) != current:
+                    yield from flush()
+                    held = {}
+                current = root, unit
+                held[node] = np.frombuffer(raw, dtype=np.uint64)      # a row stored twice counts once
+        yield from flush()
+
+    return ordered.mapInArrow(linked, "a long, b long")
+
+
+def near_copies(docs: DataFrame, shape: Shape = SIMILAR) -> DataFrame:
+    """``node, least, component_id``: of every distinct set of shingles among the documents with an id, the smallest id, and
+    the smallest id of its component of sets with a similarity of 0.8 or more."""
+    named = docs.where("doc_id is not null")
+
+    def hashed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            sets = [shingle_hashes(t.encode(), shape) for t in batch.column(1).to_pylist()]
+            out = ([set_number(x) for x in sets], [len(x) for x in sets], [lanes_from(x, shape).astype(">u8").tobytes() for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "node", "n", "fp"])
+
+    marked = tables.texts(named).mapInArrow(hashed, "doc_id long, node long, n long, fp binary")
+    distinct = tables.staged_small(marked.groupBy("node", "n", "fp").agg(F.min("doc_id").alias("least")), "distinct-shingle-sets")
+    groups = graph.components(links(distinct, shape))
+    found = verified(named, distinct.join(groups, "node").select("node", "least", "n", "root"), shape)
+    roots = graph.components(found)
+    placed = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(smallest, "root").select("node", "least", "component_id")
+
+
 def keep_one(docs: DataFrame, shape: Shape = SIMILAR) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays (of several rows with
     that id, the one whose text hash is least). Rows without an id are in no one's way and all stay."""
-    found = near_duplicates(docs, shape)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    stays = near_copies(docs, shape).select(F.col("component_id").alias("_id")).distinct()
     from pyspark.sql import Window
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), tables.whole_row(docs)).join(stays, "_id")
