@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, prose, rows
-from tidewatch.llm import blocks, gam, graph, rules, simhash, substrings, suffixes, syncmers, windows
+from tidewatch.llm import blocks, gam, graph, rules, simhash, substrings, suffixes, syncmers, tables, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -261,6 +261,25 @@ def test_substrings_against_brute_force(spark, docs, nothing, monkeypatch, crowd
     assert substrings.removed(nothing).count() == 0
 
 
+@pytest.mark.parametrize("single", [10_000, 20])
+def test_a_passage_in_many_documents_is_sent_once(spark, monkeypatch, single):
+    """Differing neighbours make every border run distinct, yet a shard holds no string of bytes twice."""
+    monkeypatch.setattr(substrings, "CROWDED", 10)
+    monkeypatch.setattr(substrings, "SINGLE", single)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 8000)
+    passage = prose(1, 60)
+    texts = [(k, f"{prose(4000 + k, 25)} {passage} {prose(6000 + k, 25)}") for k in range(120)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.removed(frame).collect())
+    assert got == naive_bytes(texts, 100)
+    stored = blocks.write_blocks(frame, "b")
+    notes = tables.staged_small(substrings.sorted_out(substrings.records(stored, 100, 16)), "n")
+    rows = substrings.called(stored, notes, 100).where("n > 0")
+    assert rows.groupBy("block", "key", "bytes").count().where("count > 1").isEmpty()
+    if single == 20:       # what meets under a key of a very crowded anchor is one string
+        assert rows.groupBy("key").agg(F.count_distinct("bytes").alias("k"), F.count(F.lit(1)).alias("n")).where("k > 20").isEmpty()
+
+
 def test_windows_against_brute_force(spark, docs, nothing, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 4000)
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for r in windows.removed(blocks.write_blocks(docs, "w")).collect())

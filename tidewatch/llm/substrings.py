@@ -11,7 +11,9 @@ smaller place of the same document. Windows of ``length`` bytes are brought toge
 3. Shards of such runs, whole anchors each, are sorted by their suffixes: an array induced from leftmost-smaller
    substrings, then permuted common prefixes (:mod:`suffixes`). Neighbours that agree in ``length`` bytes are one window,
    of which the earliest start stays. An anchor with very many distinct runs (``CROWDED``) is divided further by the bytes
-   that all windows of a part of the run share, which again keeps equal windows together.
+   that all windows of a part of the run share, which again keeps equal windows together; beyond ``SINGLE`` distinct runs
+   each window is a part of its own. Equal parts are merged within their block and again as they arrive, sorted, so a
+   shard holds each string of bytes once, and one key has as many of them as its anchor has distinct runs up to ``SINGLE``.
 4. The blocks unite all lost windows to maximal spans.
 
 So every document is read whole and every window is judged on the input; nothing is sampled. Runs are compared by 64-bit
@@ -39,6 +41,8 @@ GRAM = 32
 CHUNK, SHARD = 1 << 20, 1 << 20
 #: Distinct runs from which an anchor is divided, and window starts per part.
 CROWDED, PART = 500, 8
+#: Distinct runs from which the parts of an anchor are single windows.
+SINGLE = 10_000
 BASE = 0xD6E8FEB86659FD93
 _BYTES = _mixed(np.arange(256) + 1009)
 
@@ -160,7 +164,7 @@ def sorted_out(found: DataFrame) -> DataFrame:
             note = np.zeros(len(at), dtype=form)
             note["p"], note["n"] = p[at], n[at]
             if kind:
-                note["rel"], note["a"], note["crowded"] = rel[at], a[at], kinds[group[chosen]] > CROWDED
+                note["rel"], note["a"], note["crowded"] = rel[at], a[at], (kinds[group[chosen]] > CROWDED) + 1 * (kinds[group[chosen]] > max(CROWDED, SINGLE))
             by_row = np.argsort(which[at], kind="stable")
             cuts = np.searchsorted(which[at][by_row], np.arange(len(rows) + 1))
             for k in range(len(rows)):
@@ -185,36 +189,49 @@ def sorted_out(found: DataFrame) -> DataFrame:
 
 
 def called(stored: DataFrame, notes: DataFrame, length: int) -> DataFrame:
-    """``key, doc, block, p, n, anchor, bytes``: the bytes of every run that was called for, keyed by what its equals share."""
+    """``key, doc, block, p, n, anchor, bytes``: the bytes of every run that was called for, keyed by what its equals share.
+    Of equal parts in a block only the first is sent; the others are lost and make one row with ``n`` = -1."""
+    def sending(rows: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*rows, strict=True)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c[0], dtype=np.uint64).astype(np.int64)), *(pa.array(x, pa.int64()) for x in c[1:6]), pa.array(c[6], pa.binary())],
+                                          names=["key", "doc", "block", "p", "n", "anchor", "bytes"])
+
     def answer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block, given in _numbered(stream):
             calls = np.concatenate([np.frombuffer(r, dtype=_CALL) for rs in given.values() for r in rs] or [np.zeros(0, _CALL)])
+            calls = calls[np.argsort(calls["p"], kind="stable")]
             docs = block.ids[np.searchsorted(block.ends, calls["p"], side="right")] if len(calls) else np.zeros(0, np.int64)
             rows: list[tuple] = []
+            sent: set[bytes] = set()
+            again: list[tuple[int, int]] = []
             for (p, n, rel, a, crowded), doc in zip(calls.tolist(), docs.tolist(), strict=True):
                 anchor = p + rel
+                if len(rows) >= 20_000:
+                    yield sending(rows)
+                    rows = []
                 if not crowded:
                     rows.append((a, doc, number, p, n, anchor, block.raw[p:p + n - 1 + length]))
                     continue
-                # Starts in (anchor - PART (j + 1), anchor - PART j] all cover the same bytes around the anchor.
-                for j in range(_part(anchor, p + n - 1), _part(anchor, p) + 1):
-                    high, low = min(p + n - 1, anchor - PART * j), max(p, anchor - PART * (j + 1) + 1)
-                    core = block.raw[anchor - PART * j:anchor - PART * (j + 1) + 1 + length]
+                # Starts in (anchor - part (j + 1), anchor - part j] all cover the same bytes around the anchor.
+                part = 1 if crowded > 1 else PART
+                for j in range((anchor - (p + n - 1)) // part, (anchor - p) // part + 1):
+                    high, low = min(p + n - 1, anchor - part * j), max(p, anchor - part * (j + 1) + 1)
+                    core = block.raw[anchor - part * j:anchor - part * (j + 1) + 1 + length]
                     key = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=a.to_bytes(8, "little"), salt=(j & 0xFFFF).to_bytes(2, "little")).digest(), "little")
-                    rows.append((key, doc, number, low, high - low + 1, anchor, block.raw[low:high + length]))
-            for at in range(0, len(rows), 20_000):
-                c = list(zip(*rows[at:at + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c[0], dtype=np.uint64).astype(np.int64)), *(pa.array(x, pa.int64()) for x in c[1:6]), pa.array(c[6], pa.binary())],
-                                                 names=["key", "doc", "block", "p", "n", "anchor", "bytes"])
+                    held = block.raw[low:high + length]
+                    told = hashlib.blake2b(held, digest_size=16, key=key.to_bytes(8, "little")).digest()
+                    if told in sent:
+                        again.append((low, high - low + 1))
+                        continue
+                    sent.add(told)
+                    rows.append((key, doc, number, low, high - low + 1, anchor, held))
+            if again:
+                rows.append((int(_mixed(np.array([number]))[0]), 0, number, 0, -1, 0, np.array(again, dtype=_LOST).tobytes()))
+            yield sending(rows)
 
     return blocks.with_replies(stored, notes.where("kind = 1")).mapInArrow(answer, "key long, doc long, block long, p long, n long, anchor long, bytes binary")
 
 
-def _part(anchor: int, start: int) -> int:
-    """Number of the part of an anchor's window starts that holds ``start``."""
-    return (anchor - start) // PART
-
-
 def _numbered(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, blocks.Block, dict[int, list[bytes]]]]:
     """Like :func:`blocks.answered`, with the blocks' numbers."""
     numbers: list[int] = []
@@ -256,32 +273,40 @@ def lost_in_shard(rows: list[tuple[int, int, int, int, int, bytes]], length: int
 
 
 def compared(snippets: DataFrame, length: int) -> DataFrame:
-    """``block, bucket, reply``: windows lost to earlier ones in other runs, by suffix arrays over shards of whole keys."""
+    """``block, reply``: windows lost to earlier ones in other runs, by suffix arrays over shards of whole keys. Of rows with
+    equal key and bytes, which follow each other, the first is held and the others are lost."""
     def shards(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        size, last, shown = 0, None, None
+        notes: dict[int, list] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            notes: dict[int, list] = {}
-            for row, lost in zip(held, lost_in_shard(held, length), strict=True):
+            for row, lost in zip(held, lost_in_shard(held, length) if held else [], strict=True):
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]]))).reshape(-1, 2)
                 notes.setdefault(row[1], []).extend((row[2] + a, b - a) for a, b in edges.tolist())
-            notes = {k: v for k, v in notes.items() if v}
-            yield pa.RecordBatch.from_arrays([pa.array(list(notes), pa.int64()), pa.array([np.array(v, dtype=_LOST).tobytes() for v in notes.values()], pa.binary())], names=["block", "reply"])
+            made = {k: v for k, v in notes.items() if v}
+            notes.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([np.array(v, dtype=_LOST).tobytes() for v in made.values()], pa.binary())], names=["block", "reply"])
 
         for batch in stream:
             for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "block", "p", "n", "anchor", "bytes")), strict=True):
+                _, number, p, n, _, raw = row
+                if n < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["block", "reply"])
+                    continue
                 if key != last and size >= SHARD:
                     yield from flush()
                     held, size = [], 0
-                last = key
+                if key == last and raw == shown:
+                    notes.setdefault(number, []).append((p, n))
+                    continue
+                last, shown = key, raw
                 held.append(tuple(row))
-                size += len(row[-1])
-        if held:
-            yield from flush()
+                size += len(raw)
+        yield from flush()
 
     spark = snippets.sparkSession
-    dealt = snippets.repartition(tables.partitions(spark), "key").sortWithinPartitions("key")
+    dealt = snippets.repartition(tables.partitions(spark), "key").sortWithinPartitions("key", "bytes", "doc", "block", "anchor")
     return dealt.mapInArrow(shards, "block long, reply binary")
 
 
