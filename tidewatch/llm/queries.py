@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import attribution, blocks, contamination, gam, packing, pieces, rules, simhash, substrings, syncmers, token_store, tokens, windows
+from tidewatch.llm import attribution, blocks, codes, contamination, gam, packing, pieces, rules, simhash, substrings, syncmers, token_store, tokens, windows
 from tidewatch.llm.tables import table
 from tidewatch.session import scratch_path
 
@@ -167,3 +167,29 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _code_sql() -> str:
+    """Integer k-means per part in DuckDB: distance and index in one number, so that ties go to the lower index."""
+    steps = []
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"""a{k} AS (SELECT r, p, min(list_sum(list_transform(range(1, w + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) * {codes.ENTRIES} + e) AS m FROM parts JOIN b{k} USING (p) GROUP BY r, p)""")
+        if k < codes.ROUNDS:
+            steps.append(f"""b{k + 1} AS (SELECT p, e, coalesce(n.c, b{k}.c) AS c FROM b{k} LEFT JOIN (SELECT p, e, list(f ORDER BY j) AS c FROM (
+  SELECT p, m % {codes.ENTRIES} AS e, j, CAST(floor(sum(x[j]) / count(*)::DOUBLE) AS BIGINT) AS f FROM (SELECT p, x, m, unnest(range(1, w + 1)) AS j FROM parts JOIN a{k} USING (r, p)) GROUP BY ALL) GROUP BY p, e) n USING (p, e))""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, len(v) // {codes.PARTS} AS w, list_slice(v, p * (len(v) // {codes.PARTS}) + 1, (p + 1) * (len(v) // {codes.PARTS})) AS x FROM kept, range({codes.PARTS}) t(p)),
+b0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {codes.ENTRIES}),
+{', '.join(steps)},
+done AS (SELECT r, string_agg(printf('%02x', m % {codes.ENTRIES}), '' ORDER BY p) AS code, CAST(sum(m // {codes.ENTRIES}) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN done USING (r)"""
+
+
+@query("op13_vector_codes", _code_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of whole ``embeddings``: 16 parts, 64 entries, two rounds."""
+    return codes.coded_rows(table(spark, sf_dir, "embeddings"))
