@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import attribution, blocks, codes, contamination, gam, packing, pieces, rules, simhash, substrings, syncmers, token_store, tokens, windows
-from tidewatch.llm.tables import table
+from tidewatch.llm import attribution, blocks, codes, contamination, gam, packing, periods, pieces, rules, simhash, substrings, syncmers, token_store, tokens, windows
+from tidewatch.llm.tables import WORD, let, table
 from tidewatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,40 @@ FROM kept JOIN done USING (r)"""
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product codes of whole ``embeddings``: 16 parts, 64 entries, two rounds."""
     return codes.coded_rows(table(spark, sf_dir, "embeddings"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by a checksum of the id, go on with copies of one stretch of their words."""
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(digest / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " "))
+
+    made = let(F.regexp_extract_all("text", F.lit(f"({WORD})")), repeated)
+    return docs.select("doc_id", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (digest % 10 == 0), made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_word_runs", r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, xor(4294967295, list_reduce(
+      list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+      lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS h FROM documents),
+p AS (SELECT r, doc_id, ws, len(ws) AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS made FROM t),
+w AS (SELECT r, doc_id, n, CASE WHEN made THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE ws END AS ws FROM p),
+e AS (SELECT r, n, unnest(ws) AS word, unnest(range(0, n)) AS i FROM w WHERE n >= 24),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM e a JOIN e b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+stretch AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, s, l, min(q) AS q FROM stretch GROUP BY r, s, l),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY l / q::DOUBLE DESC, s, q) AS k FROM runs) WHERE k = 1),
+lines AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT r, array_to_string(list_transform(list_filter(range(0, n), lambda i: NOT list_contains(out, i)), lambda i: ws[i + 1]), ' ') AS t FROM w JOIN (SELECT r, list(i) AS out FROM gone GROUP BY r) USING (r))
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.t, array_to_string(ws, ' '))) AS collapsed_sha256
+FROM w LEFT JOIN top USING (r) LEFT JOIN lines USING (r) LEFT JOIN kept USING (r)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in whole ``documents``, a tenth of which are made periodic."""
+    return periods.find(_with_periods(table(spark, sf_dir, "documents"))).drop("n_words", "runs")
