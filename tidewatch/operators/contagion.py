@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import settings as S
@@ -15,6 +16,10 @@ from tidewatch.operators.panel import date_grid, returns_long
 from tidewatch.session import staged
 
 CENTRALITY_PLACES = 12
+#: A date's centralities are settled once none moved by more than this in so many rounds; rounds at most.
+CENTRALITY_TOLERANCE, CENTRALITY_ROUNDS, CENTRALITY_MOST = 1e-10, 12, 1200
+#: Asset pairs of a date up to which its graph is iterated within one task.
+SMALL_GRAPH = 2048
 
 
 def grid_returns(panel: DataFrame, window: int = S.CORR_WINDOW) -> DataFrame:
@@ -102,56 +107,97 @@ def degree_centrality(pairs: DataFrame, min_weight: float = S.MIN_EDGE_WEIGHT) -
     return degree.select("date", "asset", F.coalesce(F.col("degree") / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("degree_share"))
 
 
-def _connected(linked: np.ndarray) -> bool:
-    """Whether every node is reached from the first, step by step."""
-    seen = np.zeros(len(linked), dtype=bool)
-    front = seen.copy()
-    front[0] = True
-    while front.any():
-        seen |= front
-        front = linked[front].any(axis=0) & ~seen
-    return bool(seen.all())
+def _unit(state: DataFrame) -> DataFrame:
+    """Values of a date divided by their Euclidean length."""
+    length = state.groupBy("date").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_length"))
+    return state.join(length, "date").withColumn("x", F.col("x") / F.col("_length")).drop("_length")
 
 
-def _centrality(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per row: leading eigenvector of one date's graph, degree shares when it is not connected."""
+def _until(state: DataFrame, edges: DataFrame, step: Column, settled: Column, rounds: int, most: int,
+           finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``state`` (date, node, value) after ``step`` along the edges until ``settled`` holds for all values of a date.
+
+    Values are written every ``rounds`` rounds; finished dates take no part in later rounds.
+    """
+    done = []
+    for at in range(rounds, most + 1, rounds):
+        new = state
+        for _ in range(rounds):
+            new = edges.join(new, ["date", "node"]).groupBy("date", F.col("to").alias("node")).agg(step)
+        moved = finish(new).join(state.withColumnsRenamed({c: "_was" for c in state.columns if c not in ("date", "node")}), ["date", "node"])
+        still = moved.groupBy("date").agg((F.min(settled) | F.lit(at + rounds > most)).alias("_settled"))
+        out = staged(moved.join(still, "date").drop("_was"), "centrality")
+        done.append(out.filter("_settled").drop("_settled"))
+        state = out.filter("NOT _settled").drop("_settled")
+        if state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
+def _leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per row (a date's edges in arrays): the same rounds with the same end as on rows, or nothing if it is in pieces."""
     for batch in batches:
         out = []
-        for date, a, b, w in zip(batch["date"], batch["a"], batch["b"], batch["w"]):
-            nodes = sorted(set(a) | set(b))
-            at = {n: i for i, n in enumerate(nodes)}
-            m = np.zeros((len(nodes), len(nodes)))
-            rows, cols = [at[x] for x in a], [at[x] for x in b]
-            m[rows, cols] = w
-            m[cols, rows] = w
-            values = np.zeros(len(nodes))
-            if m.any():
-                if _connected(m > 0):
-                    lead = np.linalg.eigh(m)[1][:, -1]
-                    values = np.abs(lead) / np.linalg.norm(lead)
-                else:
-                    values = m.sum(axis=1) / m.sum()
-            values = np.round(values, CENTRALITY_PLACES) + 0.0
-            out.append(pd.DataFrame({"date": date, "asset": nodes, "eigen_centrality_30": values}))
+        for date, node, to, w in zip(batch["date"], batch["node"], batch["to"], batch["w"], strict=True):
+            names, place = np.unique(np.concatenate([node, to]), return_inverse=True)
+            m = np.zeros((len(names), len(names)))
+            m[place[len(node):], place[:len(node)]] = w
+            reached = np.arange(len(names)) == 0
+            while (more := reached | (m[:, reached] > 0).any(axis=1)).sum() > reached.sum():
+                reached = more
+            if not reached.all():
+                continue
+            x = np.full(len(names), len(names) ** -0.5)
+            for _ in range(CENTRALITY_MOST // CENTRALITY_ROUNDS):
+                was = x
+                for _ in range(CENTRALITY_ROUNDS):
+                    x = m @ x
+                x = x / np.sqrt((x * x).sum())
+                if abs(x - was).max() <= CENTRALITY_TOLERANCE:
+                    break
+            out.append(pd.DataFrame({"date": date, "node": names, "x": x}))
         if out:
             yield pd.concat(out)
 
 
-def eigen_centrality(pairs: DataFrame, min_weight: float = S.MIN_EDGE_WEIGHT,
-                     min_assets: int = S.MIN_ASSETS) -> DataFrame:
+def eigen_centrality(pairs: DataFrame, min_weight: float = S.MIN_EDGE_WEIGHT, min_assets: int = S.MIN_ASSETS, small: int = SMALL_GRAPH) -> DataFrame:
     """Eigenvector centrality of the |corr| graph, per date and usable asset.
 
-    A date's pairs are one row of arrays: the asset universe squared, a fixed
-    dimension, while dates are spread over the tasks. A graph in several pieces
-    (isolated assets count) has no single leading vector and gets degree shares.
+    The identity is added to the graph, so that values converge on bipartite graphs too. Every ``CENTRALITY_ROUNDS``
+    rounds they are brought to length 1; a date is finished once no value moved by more than ``CENTRALITY_TOLERANCE`` since
+    then, or after ``CENTRALITY_MOST`` rounds. Graphs in several pieces (isolated assets count) have no single leading
+    vector and get degree shares; graphs without edges get 0.
+
+    Dates of up to ``small`` asset pairs are iterated within tasks, many dates each. Larger graphs stay rows: edges and
+    values by (date, node), a round is one join and one partial aggregate over all dates at once, and pieces are found by
+    the least label around each node, carried along the edges in the same way.
     """
     weight = F.coalesce(F.when(F.abs("corr") >= min_weight, F.abs("corr")), F.lit(0.0))
     min_pairs = min_assets * (min_assets - 1) // 2
-    graphs = (pairs.withColumn("w", weight).groupBy("date")
-              .agg(F.collect_list(F.struct("a", "b", "w")).alias("e"), F.count("corr").alias("_known"))
-              .filter((F.size("e") >= min_pairs) & (F.col("_known") > 0))
-              .select("date", F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.w").alias("w")))
-    return graphs.mapInPandas(_centrality, "date date, asset string, eigen_centrality_30 double")
+    dates = (pairs.withColumn("w", weight).groupBy("date").agg(F.count(F.lit(1)).alias("_pairs"), F.count("corr").alias("_known"), F.max("w").alias("_top"))
+             .filter((F.col("_pairs") >= min_pairs) & (F.col("_known") > 0)).select("date", (F.col("_top") > 0).alias("linked"), (F.col("_pairs") <= small).alias("small")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to"))))
+    links = staged(pairs.withColumn("w", weight).select("date", ends.alias("e"), "w").select("date", "e.node", "e.to", "w").join(dates, "date"), "links")
+    nodes = links.groupBy("date", "node").agg(F.sum("w").alias("degree"), F.max("linked").alias("linked"), F.max("small").alias("small"))
+    total = nodes.groupBy("date").agg(F.sum("degree").alias("_total"))
+    own = nodes.filter("linked").select("date", "node", F.col("node").alias("to"), F.lit(1.0).alias("w"), "small")
+    edges = links.filter("w > 0").select("date", "node", "to", "w", "small").unionByName(own)
+
+    packed = edges.filter("small").groupBy("date").agg(F.collect_list(F.struct("node", "to", "w")).alias("e"))      # at most 2 * small + its nodes
+    values = packed.select("date", "e.node", "e.to", "e.w").mapInPandas(_leading, "date date, node string, x double")
+    if not links.filter("NOT small").isEmpty():
+        large = staged(edges.filter("NOT small").drop("small"), "edges")
+        labels = large.groupBy("date", "node").agg(F.min("node").alias("least"))
+        labels = _until(labels, large, F.min("least").alias("least"), F.col("least") == F.col("_was"), 4, 1 << 30)
+        whole = labels.groupBy("date").agg((F.min("least") == F.max("least")).alias("whole")).filter("whole").select("date")
+        large = staged(large.join(whole, "date"), "edges")
+        start = staged(_unit(large.select("date", "node").distinct().withColumn("x", F.lit(1.0))), "centrality")
+        if not start.isEmpty():
+            values = values.unionByName(_until(start, large, F.sum(F.col("w") * F.col("x")).alias("x"), F.abs(F.col("x") - F.col("_was")) <= CENTRALITY_TOLERANCE,
+                                               CENTRALITY_ROUNDS, CENTRALITY_MOST, _unit))
+    share = F.coalesce(F.col("degree") / F.nullif("_total", F.lit(0.0)), F.lit(0.0))
+    found = nodes.join(values, ["date", "node"], "left").join(total, "date")
+    return found.select("date", F.col("node").alias("asset"), (F.round(F.coalesce("x", share), CENTRALITY_PLACES) + 0.0).alias("eigen_centrality_30"))
 
 
 def with_contagion(panel: DataFrame, prices: DataFrame, primary: str) -> DataFrame:

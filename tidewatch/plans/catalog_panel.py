@@ -66,9 +66,11 @@ _CROSS = ["mean_pairwise_corr_30", "corr_dispersion_30", "btc_lead_lag_5"]
 
 
 @query("panel_assemble", f"""
-SELECT p.asset, DAY(p.date) AS date, R6(close) AS close, {_r6(_OWN)}, INT8(label) AS label FROM c_panel p""")
+SELECT p.asset, DAY(p.date) AS date, R6(close) AS close, {_r6(_OWN)}, R6(mean_pairwise_corr_30) AS mean_pairwise_corr_30, R6(corr_dispersion_30) AS corr_dispersion_30,
+ CASE WHEN mean_pairwise_corr_30 IS NOT NULL THEN R6(btc_lead_lag_5) END AS btc_lead_lag_5, R6(v) AS eigen_centrality_30, INT8(label) AS label
+FROM c_panel p LEFT JOIN c_market_t USING (date) LEFT JOIN c_lead_t USING (date) LEFT JOIN c_eigen_t e ON e.date = p.date AND e.asset = p.asset""")
 def _(t):
-    return demo_panel(t).select("asset", "date", "close", *_OWN, "label")
+    return demo_panel(t, cross_asset=True).select("asset", "date", "close", *S.FEATURES, "label")
 
 
 @query("panel_align_series", """
@@ -272,7 +274,7 @@ def _(t):
     return C.corr_graph(C.pairwise_corr(C.grid_returns(t.bars)))
 
 
-@query("x_eigen_centrality")
+@query("x_eigen_centrality", "SELECT DAY(date) AS date, asset, R6(v) AS eigen_centrality_30 FROM c_eigen")
 def _(t):
     return C.eigen_centrality(C.pairwise_corr(C.grid_returns(t.bars)))
 
@@ -285,7 +287,10 @@ def _(t):
     return C.degree_centrality(C.pairwise_corr(C.grid_returns(t.bars)))
 
 
-@query("x_contagion_all")
+@query("x_contagion_all", f"""
+SELECT b.asset, DAY(b.date) AS date, R6(close) AS close, R6(mean_pairwise_corr_30) AS mean_pairwise_corr_30, R6(corr_dispersion_30) AS corr_dispersion_30,
+ CASE WHEN mean_pairwise_corr_30 IS NOT NULL THEN R6(btc_lead_lag_5) END AS btc_lead_lag_5, R6(v) AS eigen_centrality_30
+FROM c_bars b LEFT JOIN c_market USING (date) LEFT JOIN c_lead USING (date) LEFT JOIN c_eigen e ON e.date = b.date AND e.asset = b.asset""")
 def _(t):
     return C.with_contagion(t.bars.select("asset", "date", "close"), t.bars, I.PRIMARY)
 

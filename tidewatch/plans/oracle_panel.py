@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.plans.registry import cte
+import re
+
+from tidewatch.operators.contagion import CENTRALITY_MOST, CENTRALITY_ROUNDS, CENTRALITY_TOLERANCE
+from tidewatch.plans.registry import CTES, cte
 from tidewatch.sources import inputs as I
 
 
@@ -173,3 +176,30 @@ SELECT date, CASE WHEN bool_or(lu) THEN avg(CASE WHEN usable THEN led END) ELSE
      FROM c_usable WHERE asset = '{I.PRIMARY}') l USING (g)
    WHERE f.asset <> '{I.PRIMARY}')))
 GROUP BY date HAVING sum(CASE WHEN usable THEN 1 ELSE 0 END) + max(CASE WHEN lu THEN 1 ELSE 0 END) >= 3""")
+
+# Leading vectors of the correlation graphs: the same rounds with the same end, one date's values a row each.
+cte("c_gdates", "SELECT date, max(abs(corr)) >= 0.3 AS linked FROM c_pairs GROUP BY date HAVING count(*) >= 3 AND count(corr) > 0")
+cte("c_ends", """
+SELECT date, node, dest, CASE WHEN abs(corr) >= 0.3 THEN abs(corr) ELSE 0 END AS w, linked FROM
+ (SELECT date, a AS node, b AS dest, corr FROM c_pairs UNION ALL SELECT date, b, a, corr FROM c_pairs) JOIN c_gdates USING (date)""")
+cte("c_gnodes", "SELECT date, node, sum(w) AS degree, any_value(linked) AS linked FROM c_ends GROUP BY 1, 2")
+cte("c_gedges", "SELECT date, node, dest, w FROM c_ends WHERE w > 0 UNION ALL SELECT date, node, node, 1.0 FROM c_gnodes WHERE linked")
+cte("c_whole", """
+SELECT date FROM (WITH RECURSIVE reach AS (SELECT date, min(node) AS node FROM c_gnodes WHERE linked GROUP BY date UNION SELECT e.date, e.dest FROM reach r JOIN c_gedges e ON e.date = r.date AND e.node = r.node)
+ SELECT date, count(*) AS n FROM reach GROUP BY date) JOIN (SELECT date, count(*) AS n FROM c_gnodes GROUP BY date) USING (date, n)""")
+cte("c_power", f"""
+SELECT date, node, x FROM (WITH RECURSIVE p AS (
+ SELECT 0 AS k, date, node, 1 / sqrt(count(*) OVER (PARTITION BY date)) AS x, 1 / sqrt(count(*) OVER (PARTITION BY date)) AS was, 1.0::DOUBLE AS moved FROM c_gnodes JOIN c_whole USING (date)
+ UNION ALL
+ SELECT k, date, node, x, CASE WHEN k % {CENTRALITY_ROUNDS} = 0 THEN x ELSE was END, CASE WHEN k % {CENTRALITY_ROUNDS} = 0 THEN max(abs(x - was)) OVER (PARTITION BY date) ELSE 1.0 END FROM (
+  SELECT k, date, node, was, y / sqrt(sum(y * y) OVER (PARTITION BY date)) AS x FROM (
+   SELECT p.k + 1 AS k, e.date, e.dest AS node, sum(e.w * p.x) AS y, max(CASE WHEN e.dest = e.node THEN p.was END) AS was FROM p JOIN c_gedges e ON e.date = p.date AND e.node = p.node
+   WHERE p.moved > {CENTRALITY_TOLERANCE} AND p.k < {CENTRALITY_MOST} GROUP BY ALL)))
+ SELECT date, node, x, k, max(k) OVER (PARTITION BY date) AS top FROM p) WHERE k = top""")
+cte("c_eigen", """
+SELECT date, node AS asset, coalesce(x, degree / nullif(sum(degree) OVER (PARTITION BY date), 0), 0) AS v FROM c_gnodes LEFT JOIN c_power USING (date, node)""")
+
+# The same over the bars from each asset's inception on, as the assembled panel takes them.
+_CROSS = ["c_grid", "c_spine", "c_usable", "c_pairs", "c_market", "c_lead", "c_gdates", "c_ends", "c_gnodes", "c_gedges", "c_whole", "c_power", "c_eigen"]
+for _name in _CROSS:
+    cte(f"{_name}_t", re.sub(r"\b(" + "|".join(_CROSS) + r")\b", r"\1_t", re.sub(r"\bc_bars\b", "c_trim", CTES[_name])))
