@@ -9,6 +9,7 @@ from tidewatch.operators import analogues as A
 from tidewatch.operators import explain as E
 from tidewatch.operators import health as H
 from tidewatch.operators import risk as R
+from tidewatch.operators import scores as SC
 from tidewatch.operators import windows as W
 from tidewatch.operators.asof import decision_points, latest_dates
 from tidewatch.operators.panel import trim_inception, unpivot
@@ -17,7 +18,7 @@ from tidewatch.plans import oracle_panel as O
 from tidewatch.plans.catalog_eval import fx
 from tidewatch.plans.catalog_ledger import demo_drift, demo_trend
 from tidewatch.plans.catalog_panel import demo_marked, demo_panel
-from tidewatch.plans.decisions import SIGNALS, Chain, percentile_models
+from tidewatch.plans.decisions import SIGNALS, Chain
 from tidewatch.plans.panel_plan import own_features
 from tidewatch.plans.registry import cte, query
 from tidewatch.session import staged
@@ -183,19 +184,22 @@ SELECT m.asset, m.as_of, m.date, m.k, m.similarity, count(b.close) >= 2 AS avail
 FROM c_match m LEFT JOIN c_trim b ON b.asset = m.asset AND b.date BETWEEN m.date AND m.date + 30 GROUP BY 1, 2, 3, 4, 5""")
 
 
-def _matches(t):
-    panel = staged(_panel(t), "panel")
+def _matches(panel, points):
     vectors = _last_rows(panel, _AF)
-    points = latest_dates(panel, decision_points(t.cycles, t.assets))
     return A.nearest_cosine(vectors, A.queries_at(vectors, points))
 
 
+def demo_matches(t):
+    panel = staged(demo_panel(t), "panel")
+    return _matches(panel, latest_dates(panel, decision_points(t.cycles, t.assets)))
+
+
 @query("an_outcome", """
 SELECT asset, DAY(as_of) AS as_of, DAY(date) AS date, INT8(k) AS rank, R6(similarity) AS similarity, available,
  CASE WHEN available THEN R6((s - lo) / s) END AS max_drawdown, CASE WHEN available THEN R6((e - s) / s) END AS "return",
  CASE WHEN available THEN INT8(n) END AS days_observed FROM c_after""")
 def _(t):
-    return A.outcomes(_matches(t), t.bars)
+    return A.outcomes(demo_matches(t), t.bars)
 
 
 @query("an_summary", f"""
@@ -203,7 +207,7 @@ SELECT asset, DAY(as_of) AS as_of, string_agg(strftime(date, '%Y-%m-%d') || ' ('
  || CASE WHEN available THEN ' was followed by a ' || {pc('(s - lo) / s', 1)} || ' drawdown' ELSE '; outcome unavailable' END, '; ' ORDER BY k) AS summary
 FROM c_after GROUP BY asset, as_of""")
 def _(t):
-    return A.summary(A.outcomes(_matches(t), t.bars))
+    return A.summary(A.outcomes(demo_matches(t), t.bars))
 
 
 # --- risk --------------------------------------------------------------------------------------
@@ -262,9 +266,31 @@ for _name, _fn in (("market", R.market), ("flow", R.flow), ("sentiment", R.senti
 SELECT component, asset, DAY(date) AS date, R6(score) AS score, R6(confidence) AS confidence, status, risk, INT8(n_used) AS n_used, evidence
 FROM c_rk_{_name}""")(_run)
 
-MODELS = {"vol30": "realized_vol_30", "depth": "drawdown_depth"}
-cte("c_mp", "SELECT asset, date, CASE feature " + " ".join(f"WHEN '{f}' THEN '{m}'" for m, f in MODELS.items()) + " END AS model, pct AS probability FROM c_pct "
-    "WHERE feature IN (" + ", ".join(f"'{f}'" for f in MODELS.values()) + ")")
+# Out-of-fold scores of two fitted models: the volatility rule and a linear discriminant on the window's last row.
+cte("c_win", "SELECT * FROM (SELECT *, min(date) OVER w AS ws, date + 14 AS label_end, sum(CASE WHEN " + " AND ".join(f"{f} IS NOT NULL" for f in _OWN)
+    + " THEN 1 ELSE 0 END) OVER w AS ok FROM c_panel WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE ok = 30")
+cte("c_learn", "SELECT f.fold, w.* FROM c_win w JOIN c_folds f ON w.ws <= f.train_end AND w.label_end < f.test_start - 45 WHERE w.label IS NOT NULL")
+cte("c_serve", "SELECT f.fold, f.test_start AS valid_from, w.* FROM c_win w JOIN (SELECT *, lead(test_start) OVER (ORDER BY test_start) AS until FROM c_folds) f "
+    "ON w.date >= f.test_start AND (f.until IS NULL OR w.date < f.until)")
+cte("c_fits", "SELECT fold, max(label_end) AS trained_until, " + ", ".join(
+    f"avg({f}) FILTER (WHERE label = 1) AS m1_{f}, avg({f}) FILTER (WHERE label = 0) AS m0_{f}, (count(*) FILTER (WHERE label = 1) * var_pop({f}) FILTER (WHERE label = 1) "
+    f"+ count(*) FILTER (WHERE label = 0) * var_pop({f}) FILTER (WHERE label = 0)) / count(*) AS v_{f}" for f in _OWN) + " FROM c_learn GROUP BY fold")
+_logit = " + ".join(f"CASE WHEN v_{f} > 1e-12 THEN (m1_{f} - m0_{f}) / v_{f} * ({f} - (m1_{f} + m0_{f}) / 2) WHEN v_{f} IS NOT NULL THEN 0 END" for f in _OWN)
+cte("c_oof", f"""
+SELECT 'discriminant' AS model, fold, trained_until, valid_from, asset, date, 1 / (1 + exp(-greatest(least(l, {SC.MOST}::DOUBLE), -{SC.MOST}::DOUBLE))) AS probability
+FROM (SELECT s.fold, trained_until, valid_from, asset, date, {_logit} AS l FROM c_serve s JOIN c_fits USING (fold)) WHERE l IS NOT NULL
+UNION ALL SELECT 'rule', s.fold, max(t.label_end), s.valid_from, s.asset, s.date, count(*) FILTER (WHERE t.realized_vol_7 <= s.realized_vol_7) / CAST(count(*) AS DOUBLE)
+FROM c_serve s JOIN c_learn t ON t.fold = s.fold GROUP BY ALL""")
+cte("c_mp", "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY asset, date, model ORDER BY valid_from DESC, trained_until DESC) AS k FROM c_oof "
+    "WHERE valid_from <= date AND trained_until < date) WHERE k = 1")
+
+
+def demo_scores(panel):
+    """Both models' out-of-fold scores from one labelled panel."""
+    windows = staged(SC.complete_windows(panel, _OWN), "complete")
+    return SC.rule(windows, I.FOLDS).unionByName(SC.discriminant(windows, I.FOLDS, _OWN))
+
+
 cte("c_rk_models", f"""
 SELECT 'models' AS component, asset, date, score, CASE WHEN n > 0 THEN greatest(least(1 - spread, 1), 0) ELSE 0 END AS confidence,
  CASE WHEN n = 0 THEN 'UNAVAILABLE' WHEN spread >= 0.2 THEN 'DEGRADED' ELSE 'OK' END AS status, {_band('score')} AS risk, n AS n_used, spread, raised, lowest, highest FROM (
@@ -278,8 +304,9 @@ SELECT 'models' AS component, asset, date, score, CASE WHEN n > 0 THEN greatest(
 SELECT component, asset, DAY(date) AS date, R6(score) AS score, R6(confidence) AS confidence, status, risk, INT8(n_used) AS n_used, R6(spread) AS spread,
  lowest, highest FROM c_rk_models""")
 def _(t):
-    panel, pct = _pct(t)
-    return R.models(panel.select("asset", "date"), percentile_models(pct, MODELS)).drop("evidence")
+    panel = staged(demo_panel(t), "panel")
+    keys = panel.select("asset", "date")
+    return R.models(keys, SC.as_of(demo_scores(panel), keys)).drop("evidence")
 
 
 @query("rk_severity", """
@@ -305,17 +332,16 @@ SELECT *, CASE WHEN n >= 2 THEN (0.5 + 0.5 * consensus) * conf ELSE 0 END AS con
     FROM c_atrep WHERE status <> 'UNAVAILABLE' AND score IS NOT NULL) WINDOW g AS (PARTITION BY asset, as_of)) GROUP BY 1, 2, 3))""")
 
 
-def demo_chain(t, analogues=True):
-    panel = staged(_panel(t), "panel")
+def demo_chain(t, analogues=True, more_scores=None):
+    """The chain at the monitoring dates. ``more_scores`` gives further score tables from the labelled panel."""
+    panel = staged(demo_panel(t), "panel")
     points = staged(latest_dates(panel, decision_points(t.cycles, t.assets)), "points")
     pct = staged(R.percentiles_at(panel, SIGNALS, points), "percentiles")
     best = None
     if analogues:
-        vectors = _last_rows(panel, _AF)
-        best = (A.nearest_cosine(vectors, A.queries_at(vectors, points)).groupBy("asset", "as_of")
-                .agg(F.max("similarity").alias("best_similarity")).join(points, ["asset", "as_of"]))
-        best = staged(best, "precedents")
-    return Chain(panel, pct, percentile_models(pct, MODELS), points, best)
+        best = staged(_matches(panel, points).groupBy("asset", "as_of").agg(F.max("similarity").alias("best_similarity")).join(points, ["asset", "as_of"]), "precedents")
+    scores = demo_scores(panel) if more_scores is None else demo_scores(panel).unionByName(more_scores(panel))
+    return Chain(panel, pct, SC.as_of(scores, points), points, best)
 
 
 @query("rk_orchestrate", """

@@ -57,10 +57,3 @@ class Chain:
     def at_points(self, df: DataFrame) -> DataFrame:
         """Rows per (asset, as_of) instead of per panel date."""
         return self.points.join(df, ["asset", "date"])
-
-
-def percentile_models(pct: DataFrame, named: dict[str, str]) -> DataFrame:
-    """Probabilities that are as-of percentiles of single features: the label-free rule, one model per feature."""
-    name = F.coalesce(*[F.when(F.col("feature") == f, F.lit(m)) for m, f in named.items()])
-    return pct.filter(F.col("feature").isin(list(named.values()))).select(
-        "asset", "date", name.alias("model"), F.col("percentile").alias("probability"))
