@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import analogues as A
+from tidewatch.operators import precedents as PR
 from tidewatch.operators import explain as E
 from tidewatch.operators import ledger as LG
 from tidewatch.operators import monitor as MN
@@ -90,7 +91,8 @@ def test_analogues_by_brute_force(spark):
     assert [r["date"] for r in got] == [days[i] for i in want]
     inv = np.linalg.pinv(np.cov(z, rowvar=False) + np.eye(4) * 1e-6)
     dist = np.sqrt(np.einsum("ij,jk,ik->i", z - zq, inv, z - zq))
-    m = A.nearest_mahalanobis(df, q, 4).orderBy("rank").collect()
+    panel = df.select("asset", "date", *[F.col("vec")[i].alias(f"v{i}") for i in range(4)])
+    m = PR.nearest_mahalanobis(panel, [f"v{i}" for i in range(4)], points, lookback=1).orderBy("rank").collect()
     assert [r["similarity"] for r in m] == pytest.approx(sorted(1 / (1 + dist[:61]), reverse=True)[:3])
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -74,36 +70,6 @@ def nearest_cosine(vectors: DataFrame, queries: DataFrame, k: int = S.ANALOGUE_K
     return _top(df.withColumn("similarity", similarity), k)
 
 
-def _invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per row: pseudo-inverse of a ridged covariance from its moments."""
-    for batch in batches:
-        out = []
-        for cov, d in zip(batch["cov"], batch["d"]):
-            m = np.asarray(cov, dtype=float).reshape(d, d) + np.eye(d) * 1e-6
-            out.append(np.linalg.pinv(m).ravel())
-        yield batch[["asset", "as_of"]].assign(inverse=out)
-
-
-def nearest_mahalanobis(vectors: DataFrame, queries: DataFrame, width: int, k: int = S.ANALOGUE_K,
-                        exclude_days: int = S.ANALOGUE_EXCLUDE_DAYS, past_only: bool = True) -> DataFrame:
-    """The same by 1 / (1 + Mahalanobis distance).
-
-    Covariances are plain partial aggregates; only the width x width matrices are
-    inverted, inside tasks.
-    """
-    df = _scaled(_history(vectors, queries, past_only))
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    cov = df.groupBy("asset", "as_of").agg(*[F.covar_samp(F.col("vec")[i], F.col("vec")[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    matrix = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(width) for j in range(width)])
-    inverse = cov.select("asset", "as_of", matrix.alias("cov"), F.lit(width).alias("d")).mapInPandas(
-        _invert, "asset string, as_of date, inverse array<double>")
-    scored = _eligible(df, exclude_days, past_only).join(inverse, ["asset", "as_of"])
-    scored = scored.withColumn("_d", F.zip_with("vec", "query", lambda a, b: a - b))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: _dot(F.slice("inverse", i * width + 1, F.lit(width)), "_d"))
-    distance = F.sqrt(F.greatest(_dot("_d", rows), F.lit(0.0)))
-    return _top(scored.withColumn("similarity", 1.0 / (1.0 + distance)), k)
-
-
 def outcomes(matches: DataFrame, prices: DataFrame, days: int = S.ANALOGUE_OUTCOME_DAYS) -> DataFrame:
     """Drawdown and return in the days after each match; unavailable with fewer than two prices."""
     seen = ahead(matches.select("asset", F.col("date").alias("match")).distinct(), prices, ["asset", "match"], "match", days)

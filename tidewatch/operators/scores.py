@@ -8,6 +8,8 @@ is in use are scored by it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,30 +84,25 @@ def discriminant(windows: DataFrame, folds: list[dict], features: list[str], emb
     return _table("discriminant", scored.withColumn("probability", 1.0 / (1.0 + F.exp(-bounded))), train)
 
 
-def fitted(model: str, estimator: Estimator, panel: DataFrame, windows: DataFrame, folds: list[dict], features: list[str],
-           embargo: int = S.EMBARGO_DAYS) -> DataFrame:
-    """A classifier over whole scaled windows: one fit per fold, scaler and classifier both from its training windows.
-
-    ``panel`` holds the label; ``windows`` are its complete windows.
-    """
-    marked = W.mark_windows(panel, features)
-    arrays = staged(SP.scale_arrays(SP.fit_scaler(marked, folds, features, embargo), features), "scales")
+def fitted(model: str, estimator: Estimator, panel: DataFrame, folds: list[dict], features: list[str], embargo: int = S.EMBARGO_DAYS) -> DataFrame:
+    """A classifier over whole scaled windows: one fit per fold, scaler and classifier both from its training windows."""
+    arrays = staged(SP.scale_arrays(SP.fit_scaler(W.mark_windows(panel, features), folds, features, embargo), features), "scales")
     ready = lambda df: SP.scale_windows(df, arrays).withColumn("features", W.flat_vector())
-    tensor = W.window_tensor(panel.withColumn("_any", F.lit(0)).transform(lambda p: W.mark_windows(p, features, label="_any")).withColumn("_known", F.col("label")), features, label="_known")
-    tensor = tensor.withColumnRenamed("_known", "label")
+    # Every complete window is scored, labelled or not, so completeness alone decides and the label rides along.
+    marked = W.mark_windows(panel.withColumn("_any", F.lit(0)), features, label="_any")
+    tensor = staged(W.window_tensor(marked, features, label="label"), "tensor")
     known = staged(ready(training(tensor, folds, embargo)).select("fold", "asset", "window_end", "label_end", F.col("label").cast("double").alias("label"), "features"), "training")
-    asked = staged(ready(serving(tensor, folds)).select("fold", "valid_from", "asset", "window_end", "features"), "serving")
     present = [r.fold for r in known.groupBy("fold").agg(F.countDistinct("label").alias("n")).filter("n > 1").select("fold").collect()]      # at most one per fold
+    fitting = [f for f in folds if f["fold"] in present]
+    asked = serving(tensor, folds).filter(F.col("fold").isin(present))
+    asked = staged(ready(asked).select("fold", "valid_from", "asset", "window_end", "features"), "serving")
 
-    def one(fold: str) -> DataFrame:
-        fit = MO.fit(estimator.copy(), known.filter(F.col("fold") == fold))
-        return fit.transform(asked.filter(F.col("fold") == fold)).withColumn("probability", MO.probability())
+    def one(fold: dict) -> DataFrame:
+        fit = MO.fit(estimator.copy(), known.filter(F.col("fold") == fold["fold"]))
+        return fit.transform(asked.filter(F.col("fold") == fold["fold"])).select("fold", "valid_from", "asset", "window_end", MO.probability().alias("probability"))
 
-    out = MO.at_once(present, one)
-    scored = out[0] if out else asked.withColumn("probability", F.lit(None).cast("double"))
-    for more in out[1:]:
-        scored = scored.unionByName(more)
-    return _table(model, scored, known)
+    none = asked.select("fold", "valid_from", "asset", "window_end", F.lit(None).cast("double").alias("probability")).limit(0)
+    return _table(model, reduce(DataFrame.unionByName, MO.at_once(fitting, one) if fitting else [], none), known)
 
 
 def as_of(scores: DataFrame, keys: DataFrame) -> DataFrame:

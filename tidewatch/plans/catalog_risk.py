@@ -8,6 +8,7 @@ from tidewatch import settings as S
 from tidewatch.operators import analogues as A
 from tidewatch.operators import explain as E
 from tidewatch.operators import health as H
+from tidewatch.operators import precedents as PR
 from tidewatch.operators import risk as R
 from tidewatch.operators import scores as SC
 from tidewatch.operators import windows as W
@@ -149,49 +150,41 @@ def _(t):
     return A.nearest_cosine(t.vectors, A.latest_queries(t.vectors))
 
 
-def _last_rows(panel, features):
-    """The last row of each complete window as its vector."""
-    marked = W.mark_windows(panel.withColumn("label", F.lit(0)), _OWN)
-    return staged(marked.filter("emit").select("asset", "date", F.array(*[F.col(f) for f in features]).alias("vec")), "vectors")
-
-
 @query("an_mahalanobis")
 def _(t):
-    vectors = _last_rows(_panel(t), S.TECHNICAL)
-    return A.nearest_mahalanobis(vectors, A.latest_queries(vectors), len(S.TECHNICAL))
+    """Whole windows of all 21 features, the latest one of each asset as its query."""
+    panel = staged(demo_panel(t, cross_asset=True), "panel")
+    return PR.nearest_mahalanobis(panel, S.FEATURES, panel.groupBy("asset").agg(F.max("date").alias("as_of")))
 
 
-# matches at monitoring dates, by the last row of the technical and flow features
-_AF = S.TECHNICAL + S.FLOW
+# matches at monitoring dates, by whole windows of the asset's own features
 cte("c_complete", "SELECT * FROM (SELECT *, row_number() OVER w AS rn2, sum(CASE WHEN " + " AND ".join(f"{f} IS NOT NULL" for f in _OWN)
     + " THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS ok FROM c_own WINDOW w AS (PARTITION BY asset ORDER BY date)) WHERE ok = 30")
 cte("c_ap", """
 SELECT a.asset, c.as_of, (SELECT max(date) FROM c_trim b WHERE b.asset = a.asset AND b.date <= c.as_of) AS date
 FROM c_assets a CROSS JOIN c_cycles c WHERE a.role = 'target'""")
-_mom = ", ".join(f"avg(h.{f}) AS m_{f}, CASE WHEN stddev_pop(h.{f}) > 1e-12 THEN stddev_pop(h.{f}) ELSE 1 END AS s_{f}" for f in _AF)
-cte("c_qa", "SELECT p.asset, p.as_of, p.date AS qdate, " + ", ".join(f"any_value(q.{f}) AS q_{f}" for f in _AF) + f", {_mom} FROM c_ap p "
-    "JOIN c_complete q ON q.asset = p.asset AND q.date = p.date JOIN c_complete h ON h.asset = p.asset AND h.date <= p.as_of GROUP BY 1, 2, 3")
-_zx = {f: f"((h.{f} - m_{f}) / s_{f})" for f in _AF}
-_zq = {f: f"((q_{f} - m_{f}) / s_{f})" for f in _AF}
+cte("c_wcells", "SELECT e.asset, e.date, r.rn - e.rn2 + 29 AS t, " + ", ".join(f"r.{f}" for f in _OWN)
+    + " FROM c_complete e JOIN (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM c_own) r ON r.asset = e.asset AND r.rn BETWEEN e.rn2 - 29 AND e.rn2")
+cte("c_wask", "SELECT p.asset, p.as_of, max(e.date) AS qdate FROM c_ap p JOIN c_complete e ON e.asset = p.asset AND e.date <= p.as_of GROUP BY 1, 2")
+_mom = ", ".join(f"avg(h.{f}) AS m_{f}, CASE WHEN stddev_pop(h.{f}) > 1e-12 THEN stddev_pop(h.{f}) ELSE 1 END AS s_{f}" for f in _OWN)
+cte("c_wscale", f"SELECT a.asset, a.as_of, h.t, {_mom} FROM c_wask a JOIN c_wcells h ON h.asset = a.asset AND h.date <= a.as_of GROUP BY 1, 2, 3")
+_zx = {f: f"((h.{f} - m_{f}) / s_{f})" for f in _OWN}
+_zq = {f: f"((q.{f} - m_{f}) / s_{f})" for f in _OWN}
 cte("c_match", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, as_of ORDER BY similarity DESC, date) AS k FROM (
- SELECT q.asset, q.as_of, q.qdate, h.date, ({' + '.join(f'{_zx[f]} * {_zq[f]}' for f in _AF)}) / (sqrt({' + '.join(f'{_zx[f]} * {_zx[f]}' for f in _AF)})
-  * sqrt({' + '.join(f'{_zq[f]} * {_zq[f]}' for f in _AF)})) AS similarity
- FROM c_qa q JOIN c_complete h ON h.asset = q.asset AND q.as_of - h.date >= 90)) WHERE k <= 3""")
+ SELECT a.asset, a.as_of, a.qdate, h.date, sum({' + '.join(f'{_zx[f]} * {_zq[f]}' for f in _OWN)}) / (sqrt(sum({' + '.join(f'{_zx[f]} * {_zx[f]}' for f in _OWN)}))
+  * sqrt(sum({' + '.join(f'{_zq[f]} * {_zq[f]}' for f in _OWN)}))) AS similarity
+ FROM c_wask a JOIN c_wcells q ON q.asset = a.asset AND q.date = a.qdate JOIN c_wscale s ON s.asset = a.asset AND s.as_of = a.as_of AND s.t = q.t
+ JOIN c_wcells h ON h.asset = a.asset AND h.t = q.t AND a.as_of - h.date >= 90 GROUP BY 1, 2, 3, 4)) WHERE k <= 3""")
 cte("c_after", """
 SELECT m.asset, m.as_of, m.date, m.k, m.similarity, count(b.close) >= 2 AS available, count(b.close) AS n,
  min_by(b.close, b.date) AS s, min(b.close) AS lo, max_by(b.close, b.date) AS e
 FROM c_match m LEFT JOIN c_trim b ON b.asset = m.asset AND b.date BETWEEN m.date AND m.date + 30 GROUP BY 1, 2, 3, 4, 5""")
 
 
-def _matches(panel, points):
-    vectors = _last_rows(panel, _AF)
-    return A.nearest_cosine(vectors, A.queries_at(vectors, points))
-
-
 def demo_matches(t):
     panel = staged(demo_panel(t), "panel")
-    return _matches(panel, latest_dates(panel, decision_points(t.cycles, t.assets)))
+    return PR.nearest_cosine(panel, _OWN, decision_points(t.cycles, t.assets))
 
 
 @query("an_outcome", """
@@ -339,7 +332,7 @@ def demo_chain(t, analogues=True, more_scores=None):
     pct = staged(R.percentiles_at(panel, SIGNALS, points), "percentiles")
     best = None
     if analogues:
-        best = staged(_matches(panel, points).groupBy("asset", "as_of").agg(F.max("similarity").alias("best_similarity")).join(points, ["asset", "as_of"]), "precedents")
+        best = staged(PR.nearest_cosine(panel, _OWN, points).groupBy("asset", "as_of").agg(F.max("similarity").alias("best_similarity")).join(points, ["asset", "as_of"]), "precedents")
     scores = demo_scores(panel) if more_scores is None else demo_scores(panel).unionByName(more_scores(panel))
     return Chain(panel, pct, SC.as_of(scores, points), points, best)
 
