@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import explain as E
 from tidewatch.operators import models as MO
+from tidewatch.operators import trees as TR
 
 
 @pytest.fixture(scope="module")
@@ -48,8 +49,20 @@ def test_deployed_model_scores_like_the_fitted_one(rows, tmp_path):
     np.testing.assert_allclose(a, b, atol=1e-6)
 
 
-def test_occlusion_moves_only_with_features_in_use(rows):
-    feats = rows.withColumn("feats", F.array(*[F.slice(vector_to_array("features"), 2 * t + 1, 2) for t in range(3)]))
-    got = E.occlusion(feats, MO.fit(MO.forest(30, 5), rows), F.lit([0.0, 0.0]), ["used", "noise"]).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("c")).collect()
-    moved = {r.feature: r.c for r in got}
-    assert moved["used"] > 2 * moved["noise"]
+def test_tree_contributions_equal_full_rescoring(spark, rows):
+    """Node tables score as the forest does, and losses are those of scoring each blanked window again."""
+    steps = F.array(*[F.slice(vector_to_array("features"), 2 * t + 1, 2) for t in range(3)])
+    feats = rows.withColumn("feats", steps)
+    model, means = MO.fit(MO.forest(40, 6), rows), [0.1, -0.2]
+    got = {r.window_end: r for r in TR.cell_contributions(feats, model, means, ["used", "noise"], 3).collect()}
+    full = {r.window_end: (list(r.x), r.p) for r in model.transform(rows).select("window_end", vector_to_array("features").alias("x"), MO.probability().alias("p")).collect()}
+    assert all(abs(got[d].score - p) < 1e-12 for d, (_, p) in full.items()) and len(got) == len(full) == 400
+    blanks = [({k}, ("cell_loss", k)) for k in range(6)] + [({f, f + 2, f + 4}, ("feature_loss", f)) for f in range(2)]
+    for cells, (name, k) in blanks:
+        changed = rows.withColumn("features", array_to_vector(F.array(*[F.lit(means[c % 2]) if c in cells else vector_to_array("features")[c] for c in range(6)])))
+        for r in model.transform(changed).select("window_end", MO.probability().alias("p")).collect():
+            assert got[r.window_end][name][k] == pytest.approx(full[r.window_end][1] - r.p, abs=1e-12)
+    mean = lambda k: np.mean([abs(r.feature_loss[k]) for r in got.values()])
+    assert mean(0) > 2 * mean(1)
+    long = TR.by_feature(TR.cell_contributions(feats, model, means, ["used", "noise"], 3), ["used", "noise"], 3).filter("feature = 'noise'").first()
+    assert (long.contribution, long.steps) == (got[long.window_end].feature_loss[1], got[long.window_end].cell_loss[1::2])

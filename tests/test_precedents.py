@@ -71,8 +71,6 @@ def test_precedents(spark, monkeypatch, metric, features, lookback, block):
 
 
 def test_plan_does_not_grow_with_the_width(spark):
-    from tidewatch.session import staged  # noqa: F401
-
     sizes = []
     for n in (2, 12):
         panel = spark.createDataFrame(rows(n, {"A": 60}, holes=False), "asset string, date date, " + ", ".join(f"f{i} double" for i in range(n)))

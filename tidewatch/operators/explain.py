@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import Model
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import settings as S
 from tidewatch.functions.frames import pair_corr, ratio
-from tidewatch.operators.models import probability
 from tidewatch.operators.panel import episode_days, require_empty
 
 KEY = ["asset", "window_end"]
@@ -140,20 +138,3 @@ def stability(pairs: DataFrame) -> DataFrame:
     return (pairs.agg(F.avg("spearman").alias("stability_index"), F.count(F.lit(1)).alias("n_pairs"))
             .withColumn("reading", F.when(s.isNull(), "UNDETERMINED").when(s >= 0.7, "HIGH").when(s >= 0.4, "MODERATE")
                         .when(s >= 0.0, "LOW").otherwise("NEGATIVE")))
-
-
-def occlusion(tensor: DataFrame, model: Model, background: Column, features: list[str]) -> DataFrame:
-    """Per-feature effect on a fitted model: score minus the score with that feature at its background mean.
-
-    Each window becomes one row per feature plus the untouched one, all scored by
-    the same distributed transform.
-    """
-    base = tensor.select(*KEY, "feats", background.alias("_b"),
-                         F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("_k"))
-    blanked = F.transform("feats", lambda row: F.transform(row, lambda x, i: F.when(i + 1 == F.col("_k"), F.element_at("_b", i + 1)).otherwise(x)))
-    scored = model.transform(base.select(*KEY, "_k", array_to_vector(F.flatten(blanked)).alias("features"))).select(
-        *KEY, "_k", probability().alias("p"))
-    whole = scored.filter("_k = 0").select(*KEY, F.col("p").alias("p_full"))
-    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_k"))
-    return (scored.filter("_k > 0").join(whole, KEY)
-            .select(*KEY, name.alias("feature"), (F.col("p_full") - F.col("p")).alias("contribution")))

@@ -19,6 +19,7 @@ from tidewatch.operators import models as MO
 from tidewatch.operators import monitor as MN
 from tidewatch.operators import outcomes as OC
 from tidewatch.operators import splits as SP
+from tidewatch.operators import trees as TR
 from tidewatch.operators import windows as W
 from tidewatch.plans.catalog_ledger import demo_preds
 from tidewatch.plans.catalog_panel import THRESHOLD, demo_panel
@@ -110,13 +111,19 @@ def _(t):
 
 @query("at_tree_occlusion")
 def _(t):
+    """Every fold's forest on its test windows: per feature, the loss without it and without each of its time steps."""
     panel = staged(demo_panel(t, cross_asset=True), "panel")
     marked = W.mark_windows(panel, FEATURES)
-    tensor = staged(SP.walk_forward(W.window_tensor(marked, FEATURES), LAST).filter("role IN ('train', 'test')"), "tensor")
-    train = tensor.filter("role = 'train'").withColumn("features", W.flat_vector()).withColumn("label", F.col("label").cast("double"))
-    model = MO.fit(MO.forest(100, 8), train)
-    means = SP.scale_arrays(SP.fit_scaler(marked, LAST, FEATURES), FEATURES).select("means").scalar()
-    return E.occlusion(tensor.filter("role = 'test'"), model, means, FEATURES)
+    tensor = staged(SP.walk_forward(W.window_tensor(marked, FEATURES), I.FOLDS).filter("role IN ('train', 'test')"), "tensor")
+    means = {r.fold: r.means for r in SP.scale_arrays(SP.fit_scaler(marked, I.FOLDS, FEATURES), FEATURES).collect()}      # one row per fold
+
+    def one(fold):
+        mine = tensor.filter(F.col("fold") == fold["fold"])
+        train = mine.filter("role = 'train'").withColumn("features", W.flat_vector()).withColumn("label", F.col("label").cast("double"))
+        found = TR.cell_contributions(mine.filter("role = 'test'"), MO.fit(MO.forest(), train), means[fold["fold"]], FEATURES, S.LOOKBACK)
+        return TR.by_feature(found, FEATURES, S.LOOKBACK).withColumn("fold", F.lit(fold["fold"]))
+
+    return reduce(DataFrame.unionByName, MO.at_once(I.FOLDS, one))
 
 
 # --- monitoring --------------------------------------------------------------------
