@@ -81,15 +81,16 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
         hashes = _mixed(np.arange(max(encoder.tokenizer.get_vocab_size(), end_id + 1)))
-        bucket, sign = (hashes % np.uint64(HASHED)).astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0)
-        matrix = projection()
+        # Components count twice, once for each sign; the counts of a batch are one pass over all its ids.
+        place = (2 * (hashes % np.uint64(HASHED)) + (hashes >> np.uint64(63))).astype(np.int32)
+        matrix, last = projection(), np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in stream:
             for rows in tables.batches([batch], ["doc_id", "text"], 4_000_000):
-                out, vectors = [], np.zeros((len(rows), HASHED))
-                for k, (_, text) in enumerate(rows):
-                    ids = np.append(encoder.array(text), encoder.dtype.type(end_id))
-                    vectors[k] = np.bincount(bucket[ids], weights=sign[ids], minlength=HASHED)
-                    out.append(ids.tobytes())
+                out = [encoder.encode(text) + last for _, text in rows]
+                ids = np.frombuffer(b"".join(out), dtype=encoder.dtype)
+                row = np.repeat(np.arange(len(out), dtype=np.int32), [len(o) // encoder.width for o in out])
+                signed = np.bincount(row * np.int32(2 * HASHED) + place[ids], minlength=len(out) * 2 * HASHED).reshape(len(out), HASHED, 2)
+                vectors = (signed[:, :, 0] - signed[:, :, 1]).astype(float)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 cells = np.clip(((vectors @ matrix + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(hilbert(cells)), pa.array(out, pa.binary())],

@@ -68,6 +68,9 @@ class PieceEncoder:
             self._pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         else:
             self.blank, self.lower = None, False
+        self._any_special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)").search
+        # Marks that the splitter parts from the letters before them, as one piece.
+        self._marks = {c for c in ",.;:!?" if self.blank is not None and self._pieces(f"{self.blank}ab{c}") == [f"{self.blank}ab", c]}
         # Printable bytes stand for themselves, the others for the characters from 256 on, in order.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(own)]
@@ -104,7 +107,9 @@ class PieceEncoder:
     def _unit(self, part: str, blank: str) -> bytes:
         if part.isascii() and part.isalpha():  # the usual case
             return self._cores[blank + (part.lower() if self.lower else part)]
-        if not self._plain(part) or any(s in part for s in self.special):
+        if part[-1:] in self._marks and part[:-1].isalpha() and part.isascii():
+            return self._cores[blank + (part[:-1].lower() if self.lower else part[:-1])] + self._cores[part[-1]]
+        if not self._plain(part) or self._any_special(part):
             return self.library(blank + part)
         if self.lower:
             part = part.lower()
