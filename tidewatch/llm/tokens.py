@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -76,6 +77,7 @@ class PieceEncoder:
         rest = [b for b in range(256) if b not in set(own)]
         self._byte = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
         self._units, self._cores = _Cache(self._missing), _Cache(self._core)
+        self._tokenize, self._kind, self._shown = self.model.tokenize, "H" if self.width == 2 else "I", (self.blank or "").translate(self._byte)
 
     def library(self, text: str) -> bytes:
         """Ids straight from the library."""
@@ -100,6 +102,20 @@ class PieceEncoder:
             return self.library(text)
 
     def _missing(self, part: str) -> bytes:
+        if part.isascii():
+            # The usual cases, a word and a word with a mark, in one place: most new parts are such words.
+            mark = part[-1:] if part[-1:] in self._marks else ""
+            word = part[:-1] if mark else part
+            if word.isalpha():
+                piece = self.blank + (word.lower() if self.lower else word)
+                made = self._cores.get(piece)
+                if made is None:
+                    made = array(self._kind, [t.id for t in self._tokenize(self._shown + piece[len(self.blank):])]).tobytes()
+                    if len(piece) <= LONGEST:
+                        if len(self._cores) > CACHED:
+                            self._cores.clear()
+                        self._cores[piece] = made
+                return made + self._cores[mark] if mark else made
         if self.blank and (not part or part[0].isspace()):
             raise _Whole
         return self._unit(part, self.blank)
@@ -107,8 +123,6 @@ class PieceEncoder:
     def _unit(self, part: str, blank: str) -> bytes:
         if part.isascii() and part.isalpha():  # the usual case
             return self._cores[blank + (part.lower() if self.lower else part)]
-        if part[-1:] in self._marks and part[:-1].isalpha() and part.isascii():
-            return self._cores[blank + (part[:-1].lower() if self.lower else part[:-1])] + self._cores[part[-1]]
         if not self._plain(part) or self._any_special(part):
             return self.library(blank + part)
         if self.lower:
