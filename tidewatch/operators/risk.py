@@ -248,20 +248,36 @@ def drivers(reports: DataFrame) -> DataFrame:
             .withColumn("rank", F.row_number().over(per.orderBy(F.desc("contribution"), "driver"))))
 
 
-def narrative(decisions: DataFrame, ranked: DataFrame, reports: DataFrame, doubt: DataFrame) -> DataFrame:
-    """One deterministic sentence group per decision, from its numbers only."""
+def recommendation(penalty: Column, challenges: Column) -> Column:
+    """What the sceptic advises, from the size of its penalty."""
+    n, share = challenges.cast("string"), percent(penalty)
+    return (F.when(challenges == 0, "No material counter-evidence found; the assessment stands as issued.")
+            .when(penalty >= 0.40, F.concat(F.lit("Reduce confidence substantially: "), n, F.lit(" independent challenges totalling a "), share, F.lit(" reduction.")))
+            .when(penalty >= 0.20, F.concat(F.lit("Reduce confidence: "), n, F.lit(" challenge(s), "), share, F.lit(" reduction.")))
+            .otherwise(F.concat(F.lit("Minor caveats only: "), n, F.lit(" challenge(s), "), share, F.lit(" reduction."))))
+
+
+def narrative(decisions: DataFrame, ranked: DataFrame, reports: DataFrame, doubt: DataFrame, precedents: DataFrame | None = None) -> DataFrame:
+    """One deterministic sentence group per decision, from its numbers only, and the sceptic's recommendation.
+
+    ``precedents`` brings a ``summary`` per (asset, date) for the sentence on the nearest earlier window.
+    """
     top = (ranked.filter("rank <= 5").groupBy(*POINT).agg(F.array_sort(F.collect_list(F.struct("rank", "driver", "share"))).alias("t")))
     listed = F.array_join(F.transform("t", lambda d: F.concat(d["driver"], F.lit(" ("), percent(d["share"]), F.lit(")"))), ", ")
-    quant = reports.filter("component = 'models' AND score IS NOT NULL").select(*POINT, (F.col("score") / 100.0).alias("_q"))
+    each = F.array_join(F.transform("evidence", lambda e: F.concat(F.regexp_replace(e["name"], "^model:", ""), F.lit(" "), percent(e["value"]))), ", ")
+    quant = reports.filter("component = 'models' AND score IS NOT NULL").select(*POINT, (F.col("score") / 100.0).alias("_q"), each.alias("_each"))
     against = doubt.select(*POINT, F.array_join(F.transform(top_evidence("evidence", 2), lambda e: e["detail"]), "; ").alias("_c"))
     df = decisions.join(top, POINT, "left").join(quant, POINT, "left").join(against, POINT, "left")
+    df = df.join(precedents.select(*POINT, F.col("summary").alias("_p")), POINT, "left") if precedents is not None else df.withColumn("_p", F.lit(None).cast("string"))
     day = F.date_format("date", "yyyy-MM-dd")
-    declined = F.concat(F.lit("The system declines to state a risk level for "), "asset", F.lit(" as of "), day, F.lit("."))
+    declined = F.concat(F.lit("The system declines to state a risk level for "), "asset", F.lit(" as of "), day, F.lit("."), F.coalesce(F.concat(F.lit(" "), "reason", F.lit(".")), F.lit("")))
     full = F.concat_ws(
         " ",
         F.concat("asset", F.lit(" is assessed at "), "risk", F.lit(" risk ("), fixed("final_score", 0), F.lit("/100) as of "), day, F.lit(".")),
         F.concat(F.lit("The primary drivers are "), listed, F.lit(".")),
-        F.concat(F.lit("The models estimate a "), percent("_q"), F.lit(" probability of a severe decline.")),
+        F.concat(F.lit("The models estimate a "), percent("_q"), F.lit(" probability of a severe decline ("), "_each", F.lit(").")),
         F.when(F.col("_c") != "", F.concat(F.lit("Counter-evidence: "), "_c", F.lit("."))),
+        F.concat(F.lit("Nearest historical analogue: "), "_p", F.lit(".")),
         F.concat(F.lit("Confidence: "), percent("final_confidence"), F.lit(".")))
-    return df.select(*POINT, "risk", F.when(F.col("risk") == "INSUFFICIENT_EVIDENCE", declined).otherwise(full).alias("text"))
+    return df.select(*POINT, "risk", F.when(F.col("risk") == "INSUFFICIENT_EVIDENCE", declined).otherwise(full).alias("text"),
+                     recommendation(F.coalesce("penalty", F.lit(0.0)), F.coalesce("challenges", F.lit(0))).alias("recommendation"))

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from tidewatch import settings as S
 from tidewatch.operators import explain as E
+from tidewatch.operators import ledger as LG
 from tidewatch.operators import models as MO
 from tidewatch.operators import monitor as MN
 from tidewatch.operators import outcomes as OC
 from tidewatch.operators import splits as SP
 from tidewatch.operators import trees as TR
 from tidewatch.operators import windows as W
-from tidewatch.plans.catalog_ledger import demo_preds
+from tidewatch.plans.catalog_ledger import CODE, demo_preds
 from tidewatch.plans.catalog_panel import THRESHOLD, demo_panel
+from tidewatch.plans.catalog_risk import demo_chain
 from tidewatch.plans.registry import cte, query
 from tidewatch.session import scratch_path, staged
 from tidewatch.sources import inputs as I
@@ -75,7 +77,7 @@ def _(t):
 
 @query("m_walk_forward")
 def _(t):
-    models = {"logreg": MO.logreg, "forest": lambda: MO.forest(100, 8)}
+    models = {"logreg": MO.logreg, "forest": MO.forest}
     return MO.walk_forward(_rows(t, I.FOLDS), models, I.FOLDS)
 
 
@@ -128,12 +130,29 @@ def _(t):
 
 # --- monitoring --------------------------------------------------------------------
 _C = I.CYCLES
-cte("c_back", f"""
-SELECT *, CASE WHEN resolved THEN (SELECT min(c.as_of) FROM c_cycles c WHERE c.as_of >= o.as_of + 14) END AS resolved_at FROM c_outcomes o""")
+cte("c_cpreds", f"""
+SELECT asset, as_of, risk AS severity_band, strftime(as_of, '%Y-%m-%d') AS as_of_date, '0x' || sha256(asset || '|' || strftime(as_of, '%Y-%m-%d') || '|chain|{CODE}') AS prediction_id FROM c_decide""")
+cte("c_coutcomes", f"""
+SELECT *, CASE WHEN NOT resolved THEN 'UNRESOLVED' WHEN warned AND crashed THEN 'TRUE_POSITIVE' WHEN warned THEN 'FALSE_POSITIVE'
+ WHEN crashed THEN 'FALSE_NEGATIVE' ELSE 'TRUE_NEGATIVE' END AS classification FROM (
+ SELECT *, severity_band IN ('HIGH', 'CRITICAL') AS warned, coalesce(dd >= {THRESHOLD}, false) AS crashed FROM (
+  SELECT p.prediction_id, p.asset, p.as_of, p.as_of_date, p.severity_band, count(b.close) >= 2 AS resolved,
+   CASE WHEN count(b.close) >= 2 THEN (min_by(b.close, b.date) - min(b.close)) / min_by(b.close, b.date) END AS dd
+  FROM c_cpreds p LEFT JOIN c_bars b ON b.asset = p.asset AND b.date BETWEEN p.as_of AND p.as_of + 14 GROUP BY ALL))""")
+cte("c_back", """
+SELECT *, CASE WHEN resolved THEN (SELECT min(c.as_of) FROM c_cycles c WHERE c.as_of >= o.as_of + 14) END AS resolved_at FROM c_coutcomes o""")
+
+
+def chain_predictions(t):
+    """The decision chain's predictions at every target asset and monitoring date."""
+    chain = demo_chain(t)
+    made = chain.at_points(chain.decisions()).withColumn("as_of_date", F.date_format("as_of", "yyyy-MM-dd"))
+    return made.select(LG.prediction_id("asset", "as_of_date", F.lit("chain"), F.lit(CODE)).alias("prediction_id"), "asset", "as_of_date", F.lit(S.HORIZON_DAYS).alias("horizon_days"),
+                       (F.col("final_score") / 100.0).alias("probability"), F.col("risk").alias("severity_band"))
 
 
 def demo_backfill(t):
-    preds = staged(demo_preds(t), "predictions")
+    preds = staged(chain_predictions(t), "predictions")
     return MN.backfill(preds, OC.resolve(preds, t.bars, THRESHOLD), _C["start"], _C["end"], _C["every_days"])
 
 

@@ -8,6 +8,7 @@ from tidewatch import settings as S
 from tidewatch.operators import analogues as A
 from tidewatch.operators import explain as E
 from tidewatch.operators import health as H
+from tidewatch.operators import models as MO
 from tidewatch.operators import precedents as PR
 from tidewatch.operators import risk as R
 from tidewatch.operators import scores as SC
@@ -330,11 +331,13 @@ def demo_chain(t, analogues=True, more_scores=None):
     panel = staged(demo_panel(t), "panel")
     points = staged(latest_dates(panel, decision_points(t.cycles, t.assets)), "points")
     pct = staged(R.percentiles_at(panel, SIGNALS, points), "percentiles")
-    best = None
+    best = told = None
     if analogues:
-        best = staged(PR.nearest_cosine(panel, _OWN, points).groupBy("asset", "as_of").agg(F.max("similarity").alias("best_similarity")).join(points, ["asset", "as_of"]), "precedents")
+        near = staged(PR.nearest_cosine(panel, _OWN, points), "precedents")
+        best = staged(near.groupBy("asset", "as_of").agg(F.max("similarity").alias("best_similarity")).join(points, ["asset", "as_of"]), "best")
+        told = staged(A.summary(A.outcomes(near.filter("rank = 1"), t.bars)).join(points, ["asset", "as_of"]).groupBy("asset", "date").agg(F.max("summary").alias("summary")), "told")
     scores = demo_scores(panel) if more_scores is None else demo_scores(panel).unionByName(more_scores(panel))
-    return Chain(panel, pct, SC.as_of(scores, points), points, best)
+    return Chain(panel, pct, SC.as_of(scores, points), points, best, told)
 
 
 @query("rk_orchestrate", """
@@ -408,23 +411,51 @@ def _(t):
 cte("c_listed", f"SELECT asset, as_of, string_agg(driver || ' (' || {pc('share')} || ')', ', ' ORDER BY k) AS listed FROM c_drivers WHERE k <= 5 GROUP BY 1, 2")
 
 
+# The sceptic's sentences, the two heaviest of a decision.
+cte("c_said", f"""
+SELECT asset, as_of, string_agg(d, '; ' ORDER BY k) AS said FROM (SELECT asset, as_of, d, row_number() OVER (PARTITION BY asset, as_of ORDER BY w DESC, n) AS k FROM (
+ SELECT p.asset, p.as_of, unnest([
+  CASE WHEN p.score >= 60 AND c.close > c.long_mean * 1.1 THEN {{'n': 'long_term_trend', 'w': 0.15::DOUBLE, 'd': 'price is ' || {pc('c.close / c.long_mean - 1', 1)} || ' above its long mean; the trend contradicts the warning'}} END,
+  CASE WHEN p.score >= 60 AND netflow > 0 AND supply_change > 0.01 THEN {{'n': 'conflicting_flow', 'w': 0.12::DOUBLE, 'd': 'supply grows by ' || {pc('supply_change', 2)} || ' while the warning rests on selling'}} END,
+  CASE WHEN ms >= 0.2 THEN {{'n': 'model_disagreement', 'w': least(0.05 + ms * 0.5, 0.2), 'd': 'the models disagree by ' || {pc('ms')}}} END,
+  CASE WHEN blind > 0 THEN {{'n': 'data_quality', 'w': least(0.1 * blind, 0.25)::DOUBLE, 'd': {fx('blind', 0)} || ' component(s) saw no data'}} END,
+  CASE WHEN p.spread >= 40 THEN {{'n': 'agent_divergence', 'w': least(p.spread / 400, 0.15), 'd': 'the components span ' || {fx('p.spread', 0)} || ' points'}} END,
+  CASE WHEN v.n >= 100 AND v.lt > floor(0.99::DOUBLE * (v.n - 1)) THEN {{'n': 'regime_novelty', 'w': 0.12::DOUBLE, 'd': 'volatility ' || {fx('v.value', 3)} || ' exceeds the 99th percentile of its history'}} END,
+  CASE WHEN best < 0.6 THEN {{'n': 'weak_analogue', 'w': 0.1::DOUBLE, 'd': 'the closest precedent has similarity ' || {fx('best', 2)}}} END], max_depth := 2)
+ FROM c_prelim p LEFT JOIN c_ctx c ON c.asset = p.asset AND c.date = p.date LEFT JOIN c_blind b ON b.asset = p.asset AND b.as_of = p.as_of
+ LEFT JOIN c_pct v ON v.asset = p.asset AND v.date = p.date AND v.feature = 'realized_vol_30' LEFT JOIN c_best s ON s.asset = p.asset AND s.as_of = p.as_of) WHERE n IS NOT NULL) WHERE k <= 2 GROUP BY 1, 2""")
+cte("c_nearest", f"""
+SELECT asset, as_of, strftime(date, '%Y-%m-%d') || ' (' || asset || ', similarity ' || {fx('similarity', 2)} || ')'
+ || CASE WHEN available THEN ' was followed by a ' || {pc('(s - lo) / s', 1)} || ' drawdown' ELSE '; outcome unavailable' END AS told FROM c_after WHERE k = 1""")
+cte("c_eachmodel", f"SELECT p.asset, p.as_of, string_agg(m.model || ' ' || {pc('m.probability')}, ', ' ORDER BY m.model) AS each_ FROM c_ap p JOIN c_mp m ON m.asset = p.asset AND m.date = p.date GROUP BY 1, 2")
+
+
 @query("rk_narrative", f"""
 SELECT d.asset, DAY(d.as_of) AS as_of, d.risk, CASE WHEN d.risk = 'INSUFFICIENT_EVIDENCE'
- THEN 'The system declines to state a risk level for ' || d.asset || ' as of ' || strftime(d.date, '%Y-%m-%d') || '.'
- ELSE d.asset || ' is assessed at ' || d.risk || ' risk (' || {fx('fs', 0)} || '/100) as of ' || strftime(d.date, '%Y-%m-%d') || '. The primary drivers are '
-  || listed || '. The models estimate a ' || {pc('m.score / 100')} || ' probability of a severe decline.' END AS head
+ THEN 'The system declines to state a risk level for ' || d.asset || ' as of ' || strftime(d.date, '%Y-%m-%d') || '. ' || CASE WHEN d.status = 'UNAVAILABLE' THEN 'no usable evidence' ELSE 'confidence below floor' END || '.'
+ ELSE d.asset || ' is assessed at ' || d.risk || ' risk (' || {fx('fs', 0)} || '/100) as of ' || strftime(d.date, '%Y-%m-%d') || '.'
+  || coalesce(' The primary drivers are ' || listed || '.', '')
+  || coalesce(' The models estimate a ' || {pc('m.score / 100')} || ' probability of a severe decline (' || each_ || ').', '')
+  || coalesce(' Counter-evidence: ' || said || '.', '') || coalesce(' Nearest historical analogue: ' || told || '.', '')
+  || ' Confidence: ' || {pc('fc')} || '.' END AS text,
+ CASE WHEN challenges = 0 THEN 'No material counter-evidence found; the assessment stands as issued.'
+  WHEN penalty >= 0.4 THEN 'Reduce confidence substantially: ' || challenges || ' independent challenges totalling a ' || {pc('penalty')} || ' reduction.'
+  WHEN penalty >= 0.2 THEN 'Reduce confidence: ' || challenges || ' challenge(s), ' || {pc('penalty')} || ' reduction.'
+  ELSE 'Minor caveats only: ' || challenges || ' challenge(s), ' || {pc('penalty')} || ' reduction.' END AS recommendation
 FROM c_decide d LEFT JOIN c_listed l ON l.asset = d.asset AND l.as_of = d.as_of
-LEFT JOIN c_atrep m ON m.asset = d.asset AND m.as_of = d.as_of AND m.component = 'models'""")
+LEFT JOIN c_atrep m ON m.asset = d.asset AND m.as_of = d.as_of AND m.component = 'models'
+LEFT JOIN c_eachmodel e ON e.asset = d.asset AND e.as_of = d.as_of LEFT JOIN c_said q ON q.asset = d.asset AND q.as_of = d.as_of
+LEFT JOIN c_nearest w ON w.asset = d.asset AND w.as_of = d.as_of""")
 def _(t):
     chain = demo_chain(t)
-    head = F.regexp_replace("text", "( Counter-evidence: .*)? Confidence: [0-9]+%\\.$", "")
-    return chain.at_points(chain.narratives()).select("asset", "as_of", "risk", head.alias("head"))
+    return chain.at_points(chain.narratives()).select("asset", "as_of", "risk", "text", "recommendation")
 
 
 @query("rk_pipeline")
 def _(t):
-    chain = demo_chain(t)
-    told = chain.narratives().select("asset", "date", "text")
+    """The whole chain with a third model: a logistic regression per fold over whole windows of the asset's own features."""
+    chain = demo_chain(t, more_scores=lambda panel: SC.fitted("logreg", MO.logreg(), panel, I.FOLDS, _OWN))
+    told = chain.narratives().select("asset", "date", "text", "recommendation")
     return chain.at_points(chain.decisions().join(told, ["asset", "date"]))
 
 

@@ -21,9 +21,10 @@ class Chain:
     """
 
     def __init__(self, panel: DataFrame, pct: DataFrame, predictions: DataFrame, points: DataFrame,
-                 analogues: DataFrame | None = None):
-        """``panel`` and ``pct`` are read several times: pass staged tables. ``points`` holds (asset, as_of, date)."""
-        self.panel, self.pct, self.points, self.analogues = panel, pct, points, analogues
+                 analogues: DataFrame | None = None, precedents: DataFrame | None = None):
+        """``panel`` and ``pct`` are read several times: pass staged tables. ``points`` holds (asset, as_of, date).
+        ``analogues`` brings the best similarity, ``precedents`` the nearest one's summary, both per (asset, date)."""
+        self.panel, self.pct, self.points, self.analogues, self.precedents = panel, pct, points, analogues, precedents
         keys = panel.join(points.select("asset", "date").distinct(), ["asset", "date"], "left_semi").select("asset", "date")
         out = R.models(keys, predictions)
         for component in (R.market, R.flow, R.sentiment):
@@ -51,7 +52,7 @@ class Chain:
         return R.drivers(self.reports)
 
     def narratives(self) -> DataFrame:
-        return R.narrative(self.decisions(), self.drivers(), self.reports, self._doubt)
+        return R.narrative(self.decisions(), self.drivers(), self.reports, self._doubt, self.precedents)
 
     def at_points(self, df: DataFrame) -> DataFrame:
         """Rows per (asset, as_of) instead of per panel date."""
