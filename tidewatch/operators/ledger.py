@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from tidewatch.functions.canon import canonical_json, digest
 from tidewatch.functions.frames import col
-from tidewatch.sources.files import append_lines, read_lines
+from tidewatch.sources import commits
 
-MONTH = "as_of_month"
 # --- fixed values: fields every payload carries -----------------------------------
 PAYLOAD = {
     "prediction_id": "string", "asset": "string", "as_of_date": "string", "horizon_days": "integer",
@@ -54,40 +53,27 @@ def append_predictions(new: DataFrame, path: str, schema: StructType | str) -> N
     """Append predictions whose id the ledger does not hold yet; existing records are never touched.
 
     The ledger is divided by the month of the as-of date, which the id is made of, so an append reads only the months
-    it writes to.
+    it writes to. The append is one commit: seen whole or not at all, also beside others.
     """
-    spark = new.sparkSession
-    month = F.substring("as_of_date", 1, 7) if "as_of_date" in new.columns else F.lit(None).cast("string")
-    fresh = new.dropDuplicates(["prediction_id"]).withColumn(MONTH, F.coalesce(month, F.lit("unknown")))
-    if _exists(spark, path):
-        months = [r[0] for r in fresh.select(MONTH).distinct().collect()]     # as many as months appended
-        known = read_lines(spark, path, _with_month(schema)).filter(F.col(MONTH).isin(months)).select("prediction_id").distinct()
-        fresh = fresh.join(known, "prediction_id", "left_anti")
-    append_lines(fresh, path, [MONTH])
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    commits.append(new.select(fields.names), path)
 
 
 def read_predictions(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The ledger's records, without the column it is divided by."""
-    return read_lines(spark, path, _with_month(schema)).drop(MONTH)
-
-
-def _with_month(schema: StructType | str) -> StructType:
-    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return StructType([*fields.fields, StructField(MONTH, StringType())])
+    """The ledger's records."""
+    return commits.read(spark, path, schema)
 
 
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Outcomes are records of their own; one that is there already is not written again, so a replay is harmless."""
-    fresh = outcomes.dropDuplicates(["prediction_id"])
-    if _exists(outcomes.sparkSession, path):
-        known = read_lines(outcomes.sparkSession, path, outcomes.schema).select("prediction_id").distinct()
-        fresh = fresh.join(known, "prediction_id", "left_anti")
-    append_lines(fresh, path)
+    """Outcomes are records of their own; one that is there already is not written again, so a replay is harmless.
+
+    They are divided like the predictions they belong to, so a replay is found in the months it writes to.
+    """
+    commits.append(outcomes, path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def read_outcomes(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    return commits.read(spark, path, schema)
 
 
 def verify(published: DataFrame, recorded: DataFrame) -> DataFrame:

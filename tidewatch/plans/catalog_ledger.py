@@ -275,7 +275,7 @@ def _(t):
     outcomes = staged(OC.resolve(demo_preds(t), t.bars, THRESHOLD), "outcomes")
     LG.append_outcomes(OC.matured(outcomes, "1999-01-01"), path)
     LG.append_outcomes(outcomes, path)      # those of the first append are there already
-    return FI.read_lines(t.spark, path, outcomes.schema).drop("horizon_days")
+    return LG.read_outcomes(t.spark, path, outcomes.schema).drop("horizon_days")
 
 
 # --- digests --------------------------------------------------------------------------------

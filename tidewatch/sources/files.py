@@ -31,11 +31,6 @@ def write_windows(tensor: DataFrame, path: str) -> None:
     tensor.write.mode("overwrite").partitionBy("asset").parquet(path)
 
 
-def append_lines(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("append").option("ignoreNullFields", False)
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
-
-
 def read_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines; blank and corrupt lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
