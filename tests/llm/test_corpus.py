@@ -330,7 +330,7 @@ def test_syncmers(docs, nothing):
 def test_anchors_do_not_depend_on_what_surrounds_them(spark):
     core = prose(3, 60)
     made = spark.createDataFrame([(0, core), (1, prose(4, 30) + " " + core), (2, prose(5, 100))], "doc_id long, text string")
-    kept = {r.doc_id: {x >> 16 for x in r.a} for r in made.select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
+    kept = {r.doc_id: {x >> syncmers.PLACE for x in r.a} for r in made.select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
     assert len(kept[0] & kept[1]) >= 0.5 * len(kept[0]) and not kept[0] & kept[2]
     pair = made.select("doc_id", syncmers.anchors(F.col("text")).alias("a"))
     a = pair.where("doc_id = 0").select(F.col("a"))
