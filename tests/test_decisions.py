@@ -190,3 +190,18 @@ def test_streams_equal_batch(spark):
     live = SB.drain(SB.daily_bars(SB.read_events(spark, f"{folder}/e")), "bars")
     batch = SB.daily_bars(events.withColumn("ts", F.col("ts").cast("timestamp")))
     assert live.exceptAll(batch).isEmpty() and 0 < live.count() < batch.count()
+
+
+def test_copies_of_a_prediction_and_restarts_change_no_outcome(spark):
+    preds, prices = _preds(spark), _falling(spark)
+    folder = scratch_path(spark, "feed")
+    p = preds.select("prediction_id", "asset", F.to_timestamp("as_of_date").alias("pred_ts"), "severity_band")
+    q = prices.select("asset", F.col("date").cast("timestamp").alias("ts"), "close").filter("day(ts) = 5 OR month(ts) > 11")
+    p.unionByName(p).write.parquet(f"{folder}/p")
+    q.write.parquet(f"{folder}/q")
+    stream = lambda d, df: spark.readStream.schema(df.schema).parquet(f"{folder}/{d}")
+    out = lambda: SR.outcome_stream(stream("p", p), stream("q", q), 14, 0.2)
+    path, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    first = {r["prediction_id"] for r in SR.resolve_stream(out(), path, state).collect()}
+    assert first == {"p2"}                       # p1 sees one price only; its copy must not make two of it
+    assert {r["prediction_id"] for r in SR.resolve_stream(out(), path, state).collect()} == first
