@@ -1,10 +1,12 @@
 """Token store, packing, attribution and SentencePiece scan against the tokenizer libraries themselves."""
 
+import glob
 import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -48,6 +50,32 @@ def test_token_store(spark, docs, vocabulary):
     assert spark.read.parquet(f"{path}/segments").select("dict_hash").distinct().count() == 1
 
 
+def test_lookup_reads_few_row_groups(spark, vocabulary, monkeypatch, capsys):
+    """400 documents in segments of 600 bytes: one id is looked up in under 2 % of the bytes, by statistics in the files."""
+    monkeypatch.setattr(token_store, "SEGMENT_BYTES", 600)
+    monkeypatch.setattr(token_store, "GROUP_BYTES", 1000)
+    file, path = vocabulary("word_bpe_49k.json"), scratch_path(spark, "store")
+    docs = spark.createDataFrame([(3 * i if i > 5 else None, " ".join(f"w{i * j % 9973}" for j in range(60))) for i in range(400)], "doc_id long, text string")
+    token_store.write_store(docs, path, file, end_id=2)
+    groups = [g for f in glob.glob(f"{path}/segments/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+
+    def bounds(g):
+        first, last = (next(c for c in map(g.column, range(g.num_columns)) if c.path_in_schema == n).statistics for n in ("first_id", "last_id"))
+        return (first.min, last.max) if first.has_min_max else None
+
+    asked = 3 * 177
+    hit = [g.total_byte_size for g in groups if bounds(g) and bounds(g)[0] <= asked <= bounds(g)[1]]
+    assert hit and sum(hit) < 0.02 * sum(g.total_byte_size for g in groups)
+    token_store.holding(spark, path, [asked]).explain("formatted")
+    plan = capsys.readouterr().out
+    assert f"LessThanOrEqual(first_id,{asked})" in plan and f"GreaterThanOrEqual(last_id,{asked})" in plan
+    assert [r.doc_id for r in token_store.lookup(spark, path, [asked, asked + 1]).collect()] == [asked]
+    many = list(range(100, 1100, 2))
+    assert sorted(r.doc_id for r in token_store.lookup(spark, path, many).collect()) == [d for d in many if d % 3 == 0]
+    assert token_store.lookup(spark, path, []).count() == 0
+    assert token_store.read_store(spark, path).count() == 400
+
+
 def test_empty_token_store(spark, nothing, vocabulary):
     path = scratch_path(spark, "store")
     token_store.write_store(nothing, path, vocabulary("word_bpe_49k.json"), end_id=2)

@@ -4,9 +4,10 @@ Layout below one folder, all Parquet so that any store Spark reaches can hold it
 executors harmless:
 
 ``dictionary``  one row: ``dict_hash`` (sha256 of the zstandard dictionary), ``dictionary``, ``sample_docs``
-``segments``    about one megabyte of frames per row, in ascending id order: ``part, seq, dict_hash, payload`` and the
-                offset index ``doc_id, n_tokens, start_in_part, frame_start, frame_end`` as arrays. ``part`` numbers the
-                ranges of ids, ``seq`` the segments of a range.
+``segments``    about one megabyte of frames per row, in ascending id order: ``part, seq, first_id, last_id, dict_hash, payload``
+                and the offset index ``doc_id, n_tokens, start_in_part, frame_start, frame_end`` as arrays. ``part`` numbers
+                the ranges of ids, ``seq`` the segments of a range. Row groups are small (``GROUP_BYTES``), so that the
+                files' own statistics of ``first_id`` and ``last_id`` lead a lookup to the few that hold its ids.
 
 Every document is one zstandard frame over its ids, little-endian, of the width the vocabulary needs. All frames share
 one dictionary trained on serialised id arrays, which is what makes frames of a few dozen ids small.
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import tables, tokens
@@ -33,9 +35,12 @@ SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 65536
 SEGMENT_BYTES = 1 << 20
+GROUP_BYTES = 4 << 20
 LEVEL = 3
+#: Ranges of ids that a lookup asks the files for; more ids than that share ranges.
+RANGES = 64
 
-_SEGMENTS = ("part int, seq int, dict_hash string, payload binary, doc_id array<long>, n_tokens array<long>, "
+_SEGMENTS = ("part int, seq int, first_id long, last_id long, dict_hash string, payload binary, doc_id array<long>, n_tokens array<long>, "
              "start_in_part array<long>, frame_start array<long>, frame_end array<long>")
 
 
@@ -87,10 +92,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
 
         def segment() -> pa.RecordBatch:
             longs = pa.list_(pa.int64())
+            known = [d for d in held["doc_id"] if d is not None] or [None]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([digest]), pa.array([b"".join(frames)], pa.binary()),
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([known[0]], pa.int64()), pa.array([known[-1]], pa.int64()), pa.array([digest]), pa.array([b"".join(frames)], pa.binary()),
                  *(pa.array([v], longs) for v in held.values())],
-                names=["part", "seq", "dict_hash", "payload", *held])
+                names=["part", "seq", "first_id", "last_id", "dict_hash", "payload", *held])
 
         for batch in stream:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -110,7 +116,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
             yield segment()
 
     (docs.repartitionByRange(tables.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(encode, _SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments"))
+     .mapInArrow(encode, _SEGMENTS).write.option("compression", "none").option("parquet.block.size", GROUP_BYTES)
+     .option("parquet.page.size.row.check.min", 1).parquet(f"{path}/segments"))
 
 
 def read_dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
@@ -158,12 +165,20 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return rows.join(starts, "part").select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
+def holding(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """Segments that may hold an asked-for id. Both bounds of every range reach the scan, which skips row groups by them."""
+    ids = sorted({int(d) for d in doc_ids})
+    ranges = [ids[len(ids) * k // RANGES:len(ids) * (k + 1) // RANGES] for k in range(RANGES)] if len(ids) > RANGES else [[d] for d in ids]
+    near = [(F.col("first_id") <= r[-1]) & (F.col("last_id") >= r[0]) for r in ranges]
+    return spark.read.parquet(f"{path}/segments").where(reduce(Column.__or__, near, F.lit(False)))
+
+
 def lookup(spark: SparkSession, path: str, doc_ids: list[int], width: int = 2) -> DataFrame:
-    """Ids of single documents: the index arrays are read alone first, then only the segments that hold an asked-for id,
-    of which only those documents' frames are decompressed."""
+    """Ids of single documents: only row groups whose id range holds an asked-for id are read, and only those documents' frames
+    decompressed. Ids that the store lacks give no row; documents without id cannot be asked for."""
     digest, raw = read_dictionary(spark, path)
-    wanted = F.array(*(F.lit(int(d)) for d in doc_ids))
-    segments = spark.read.parquet(f"{path}/segments").where(F.arrays_overlap("doc_id", wanted))
+    wanted = F.array(*(F.lit(int(d)) for d in doc_ids)).cast("array<bigint>")
+    segments = holding(spark, path, doc_ids).where(F.arrays_overlap("doc_id", wanted))
     for name in ("start_in_part", "frame_start", "frame_end"):
         segments = segments.withColumn(name, F.filter(name, lambda x, i: F.array_contains(wanted, F.element_at("doc_id", i + 1))))
     segments = segments.withColumn("doc_id", F.filter("doc_id", lambda x: F.array_contains(wanted, x)))
