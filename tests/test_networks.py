@@ -6,7 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import metrics as ME
+from tidewatch.operators import models as MO
 from tidewatch.operators import networks as N
+from tidewatch.operators import splits as SP
+from tidewatch.operators import windows as W
 
 FOLDS = [{"fold": "f1", "train_end": "2020-09-30", "test_start": "2020-10-01", "test_end": "2020-12-31"},
          {"fold": "f2", "train_end": "2020-12-31", "test_start": "2021-01-01", "test_end": "2021-03-31"},
@@ -100,3 +104,48 @@ def test_walk_forward_ranks_positives_and_skips_folds_without_training(tensor, a
 def test_no_windows_give_no_scores(tensor, arrays):
     out = N.walk_forward(tensor.limit(0), arrays, FOLDS, 5)
     assert out.isEmpty() and out.columns == ["fold", "asset", "window_end", "label", "y_score"]
+
+
+def test_given_parts_are_fitted_and_scored_as_folds_are(tensor, arrays):
+    """Parts made of the folds' roles give the walk-forward's scores; a window that is only held back is scored, never fitted on."""
+    roles = SP.walk_forward(tensor, FOLDS, 5).filter("role IN ('train', 'test')")
+    parts = roles.withColumn("part", F.when(F.col("role") == "train", "fit").otherwise("test"))
+    got = {(r.fold, r.window_end): (r.part, r.y_score) for r in N.score_parts(tensor, arrays, parts, [f["fold"] for f in FOLDS], (5, 4), 3).collect()}
+    want = {(r.fold, r.window_end): ("test", r.y_score) for r in N.walk_forward(tensor, arrays, FOLDS, 5, (5, 4), 3).collect()}
+    assert got.keys() == want.keys() and want
+    assert all(got[k][0] == "test" and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    late = F.col("window_end") > "2020-07-01"
+    held = parts.withColumn("part", F.when((F.col("part") == "fit") & late, "calibrate").otherwise(F.col("part")))
+    flipped = tensor.withColumn("label", F.when(late, 1 - F.col("label")).otherwise(F.col("label")))
+    one, other = ({(r.fold, r.window_end): r.y_score for r in N.score_parts(x, arrays, held.filter("fold = 'f1'"), ["f1"], (5, 4), 3).collect()} for x in (tensor, flipped))
+    assert len(one) == held.filter("fold = 'f1' AND part <> 'fit'").count() > len([k for k in want if k[0] == "f1"])
+    assert one == pytest.approx(other, abs=1e-12)
+
+
+def test_walk_forward_takes_models_of_all_folds_at_once(tensor):
+    """The rule's scores by counting, and a threshold from the calibration part alone."""
+    signals = tensor.select("asset", "window_end", F.col("feats")[2][0].alias("signal"))
+    seen = []
+
+    def rule(parts):
+        seen.append(parts)
+        return MO.rule_parts(parts, signals)
+
+    rows = SP.walk_forward(tensor, FOLDS[:1], 5).filter("role IN ('train', 'test')").withColumn("features", W.flat_vector())
+    out = MO.walk_forward(rows, {"logreg": lambda: MO.logreg(5)}, FOLDS[:1], 5, {"rule": rule}).collect()
+    assert {(r.model, r.fold) for r in out} == {("logreg", "f1"), ("rule", "f1")}
+    value = {r.window_end: r.signal for r in signals.collect()}
+    part = {r.window_end: (r.part, r.label) for r in seen[0].collect()}
+    known = [value[d] for d, (p, _) in part.items() if p == "fit"]
+    share = {d: np.mean([v <= value[d] for v in known]) for d in part}
+    mine = [r for r in out if r.model == "rule"]
+    assert {r.date for r in mine} == {d for d, (p, _) in part.items() if p == "test"}
+    assert all(r.y_score == pytest.approx(share[r.date]) for r in mine)
+    held = [(share[d], y) for d, (p, y) in part.items() if p == "calibrate"]
+
+    def f1(limit):
+        hits = sum(1 for s, y in held if s >= limit - 1e-12 and y)
+        return 2 * hits / max(1, sum(s >= limit - 1e-12 for s, _ in held) + sum(y for _, y in held))
+
+    tried = np.quantile([s for s, _ in held], ME.CANDIDATE_PROBS)
+    assert f1(mine[0].threshold) == pytest.approx(max(map(f1, tried))) and np.abs(tried - mine[0].threshold).min() < 1e-12

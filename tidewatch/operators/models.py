@@ -101,14 +101,25 @@ def at_once(jobs: list, fn: Callable, parallelism: int = 4) -> list:
         return pool.map(inheritable_thread_target(fn), jobs)
 
 
+def rule_parts(parts: DataFrame, signals: DataFrame) -> DataFrame:
+    """The volatility rule over ``parts``: share of a fold's ``fit`` readings at or below each other window's own.
+
+    ``signals`` is (asset, window_end, signal).
+    """
+    known = parts.select("fold", "part", *KEY, "label").join(signals, KEY)
+    return empirical_cdf(known.filter("part = 'fit'"), known.filter("part <> 'fit'"), ["fold"], "signal", "y_score")
+
+
 def walk_forward(rows: DataFrame, models: dict[str, Callable[[], Estimator]], folds: list[dict],
-                 embargo: int = S.EMBARGO_DAYS) -> DataFrame:
+                 embargo: int = S.EMBARGO_DAYS, scorers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Fit every model on every fold, calibrate its threshold on later training windows, score the test windows.
 
     ``rows`` comes from ``training_rows``. The split of all folds is written once,
     by fold, so each fit reads only its own files. The few (model, fold) pairs are
     fitted a few at a time, each as distributed jobs, and all thresholds come from
-    one pass over the calibration scores.
+    one pass over the calibration scores. ``scorers`` are models that take all folds
+    at once: (fold, part, asset, window_end, label, ..) in, the windows outside ``fit``
+    with their ``y_score`` out.
     """
     columns = ["fold", "part", *KEY, "label", "features"]
     parts = staged(SP.calibration(rows, embargo).select(columns).unionByName(
@@ -121,6 +132,8 @@ def walk_forward(rows: DataFrame, models: dict[str, Callable[[], Estimator]], fo
             F.col("label").cast("long").alias("y_true"), probability().alias("y_score"))
 
     outs = at_once([(f["fold"], name) for f in folds for name in models], one)
+    outs += [score(parts).select("fold", F.lit(name).alias("model"), "part", F.col("window_end").alias("date"), "asset",
+                                 F.col("label").cast("long").alias("y_true"), "y_score") for name, score in (scorers or {}).items()]
     scored = staged(reduce(DataFrame.unionByName, outs), "scored")
     limits = M.best_threshold(scored.filter("part = 'calibrate'"), ["fold", "model"]).select("fold", "model", "threshold")
     return (scored.filter("part = 'test'").drop("part").join(limits, ["fold", "model"], "left")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import settings as S
@@ -88,8 +88,12 @@ def flagged(tensor: DataFrame, folds: list[dict], embargo: int = S.EMBARGO_DAYS)
     """(asset, window_end, label, x, train, test, aside): each window once, with a flag per fold for its two roles."""
     role = [SP.fold_role(f, embargo) for f in folds]
     flags = [F.array(*[F.coalesce(r == kind, F.lit(False)) for r in role]).alias(kind) for kind in ("train", "test")]
-    return tensor.select("asset", "window_end", F.col("label").cast("double").alias("label"), W.flat().alias("x"), *flags,
-                         (F.pmod(F.xxhash64("asset", "window_end"), F.lit(10)) == 0).alias("aside"))
+    return tensor.select("asset", "window_end", F.col("label").cast("double").alias("label"), W.flat().alias("x"), *flags, _aside())
+
+
+def _aside() -> Column:
+    """Whether a window is among the tenth kept aside for the early end."""
+    return (F.pmod(F.xxhash64("asset", "window_end"), F.lit(10)) == 0).alias("aside")
 
 
 def class_weights(rows: DataFrame, n: int) -> np.ndarray:
@@ -211,13 +215,29 @@ def walk_forward(tensor: DataFrame, arrays: DataFrame, folds: list[dict], embarg
                  max_iter: int = MAX_ITER, step: float = 0.003, seed: int = 42) -> DataFrame:
     """Fit on every fold's training windows, score its test windows. ``arrays`` holds the folds' means and scales."""
     rows = staged(flagged(tensor, folds, embargo), "windows")
+    return fit_score(rows, arrays, [f["fold"] for f in folds], hidden, max_iter, step, seed)
+
+
+def score_parts(tensor: DataFrame, arrays: DataFrame, parts: DataFrame, names: list[str], hidden: tuple[int, ...] = HIDDEN,
+                max_iter: int = MAX_ITER, step: float = 0.003, seed: int = 42) -> DataFrame:
+    """Fit on the windows that ``parts`` (fold, part, asset, window_end) calls ``fit``, score all its others; ``part`` is returned too."""
+    of = parts.groupBy("asset", "window_end").agg(F.collect_set(F.when(F.col("part") == "fit", F.col("fold"))).alias("train"),
+                                                  F.collect_set(F.when(F.col("part") != "fit", F.col("fold"))).alias("test"))
+    flags = [F.array(*[F.array_contains(kind, n) for n in names]).alias(kind) for kind in ("train", "test")]
+    rows = staged(tensor.join(of, ["asset", "window_end"]).select("asset", "window_end", F.col("label").cast("double").alias("label"), W.flat().alias("x"), *flags, _aside()), "windows")
+    scored = fit_score(rows, arrays, names, hidden, max_iter, step, seed)
+    return scored.join(parts.filter("part <> 'fit'").select("fold", "asset", "window_end", "part"), ["fold", "asset", "window_end"])
+
+
+def fit_score(rows: DataFrame, arrays: DataFrame, names: list[str], hidden: tuple[int, ...] = HIDDEN, max_iter: int = MAX_ITER,
+              step: float = 0.003, seed: int = 42) -> DataFrame:
+    """Fit per fold on the windows flagged ``train``, score those flagged ``test``."""
     stats = {r.fold: r for r in arrays.collect()}                             # one row per fold
-    weights = class_weights(rows, len(folds))
-    names = [f["fold"] for f in folds]
+    weights = class_weights(rows, len(names))
     usable = [i for i, name in enumerate(names) if weights[i].any() and name in stats]
     shape = rows.select(F.size("x").alias("n")).first()
     if shape is None or not usable:
-        return score(rows, np.zeros((len(folds), 0)), Layers(()), np.zeros(0), np.zeros(0), names, [])
+        return score(rows, np.zeros((len(names), 0)), Layers(()), np.zeros(0), np.zeros(0), names, [])
     layers = Layers((shape.n, *hidden, 1))
     def wide(field: str) -> np.ndarray:
         return np.stack([np.resize(stats[n][field], shape.n) if n in stats else np.ones(shape.n) for n in names])
