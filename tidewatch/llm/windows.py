@@ -119,8 +119,9 @@ def replies(found: DataFrame, buckets: int) -> DataFrame:
         if held[0]:
             yield judged(held[0], current, held[1], held[2])
 
-    spark = found.sparkSession
-    return (found.repartitionByRange(tables.partitions(spark), "bucket").sortWithinPartitions("bucket")
+    # Buckets are equal ranges of hashes, so their numbers place them; ranges would be sampled by hashing all windows once more.
+    n = tables.partitions(found.sparkSession)
+    return (found.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
             .mapInArrow(by_bucket, "block long, bucket int, reply binary"))
 
 
