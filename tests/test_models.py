@@ -66,3 +66,10 @@ def test_tree_contributions_equal_full_rescoring(spark, rows):
     assert mean(0) > 2 * mean(1)
     long = TR.by_feature(TR.cell_contributions(feats, model, means, ["used", "noise"], 3), ["used", "noise"], 3).filter("feature = 'noise'").first()
     assert (long.contribution, long.steps) == (got[long.window_end].feature_loss[1], got[long.window_end].cell_loss[1::2])
+
+
+def test_forest_without_positive_rows_scores_zero(rows):
+    """Its leaves and probabilities know one class alone."""
+    negative = rows.filter("label = 0")
+    model = MO.fit(MO.forest(5, 3), negative)
+    assert {r.p for r in model.transform(rows).select(MO.probability().alias("p")).collect()} == {0.0}

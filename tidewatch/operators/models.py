@@ -69,7 +69,8 @@ def mlp(width: int, hidden: tuple[int, ...] = (64, 32), max_iter: int = 500, see
 
 
 def probability() -> Column:
-    return vector_to_array("probability")[1]
+    """Of the positive class; 0 from a forest that saw no positive row, which knows one class alone."""
+    return F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
 
 
 def training_rows(tensor: DataFrame, folds: list[dict], features: list[str], marked: DataFrame,
