@@ -73,3 +73,9 @@ def test_forest_without_positive_rows_scores_zero(rows):
     negative = rows.filter("label = 0")
     model = MO.fit(MO.forest(5, 3), negative)
     assert {r.p for r in model.transform(rows).select(MO.probability().alias("p")).collect()} == {0.0}
+
+
+def test_tree_contributions_without_positive_rows_are_zero(rows):
+    feats = rows.withColumn("feats", F.array(*[F.slice(vector_to_array("features"), 2 * t + 1, 2) for t in range(3)]))
+    found = TR.cell_contributions(feats, MO.fit(MO.forest(5, 3), rows.filter("label = 0")), [0.1, -0.2], ["used", "noise"], 3).collect()
+    assert len(found) == 400 and {(r.score, *r.feature_loss, *r.cell_loss) for r in found} == {(0.0,) * 9}

@@ -91,7 +91,7 @@ class Nodes:
 
 
 def node_table(model: Model) -> Nodes:
-    """The nodes of a fitted random forest, read from its saved form."""
+    """The nodes of a fitted random forest, read from its saved form; fitted without positive rows, its leaves hold one class alone."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.active()
@@ -102,7 +102,7 @@ def node_table(model: Model) -> Nodes:
     stats = node["impurityStats"]
     rows = saved.select(F.col("treeID").alias("tree"), node["id"].alias("id"), node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
                         F.get(node["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
-                        F.when(F.aggregate(stats, F.lit(0.0), lambda a, v: a + v) > 0, stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, v: a + v)).otherwise(0.0).alias("value"))
+                        F.when(F.aggregate(stats, F.lit(0.0), lambda a, v: a + v) > 0, F.coalesce(F.get(stats, F.lit(1)), F.lit(0.0)) / F.aggregate(stats, F.lit(0.0), lambda a, v: a + v)).otherwise(0.0).alias("value"))
     return Nodes(rows.collect())
 
 
