@@ -79,3 +79,12 @@ def test_tree_contributions_without_positive_rows_are_zero(rows):
     feats = rows.withColumn("feats", F.array(*[F.slice(vector_to_array("features"), 2 * t + 1, 2) for t in range(3)]))
     found = TR.cell_contributions(feats, MO.fit(MO.forest(5, 3), rows.filter("label = 0")), [0.1, -0.2], ["used", "noise"], 3).collect()
     assert len(found) == 400 and {(r.score, *r.feature_loss, *r.cell_loss) for r in found} == {(0.0,) * 9}
+
+
+def test_walk_forward_takes_folds_without_positive_rows(rows):
+    """Forest and linear model fit and score; no positive calibration window leaves the threshold at one half."""
+    whole = rows.withColumns({"window_start": F.date_sub("window_end", 2), "label_end": F.date_add("window_end", 1), "fold": F.lit("f")})
+    parted = whole.withColumn("label", F.lit(0.0)).withColumn("role", F.when(F.col("window_end") < "2020-10-01", "train").otherwise("test"))
+    got = MO.walk_forward(parted, {"forest": lambda: MO.forest(5, 3), "logreg": MO.logreg}, [{"fold": "f"}], embargo=5).collect()
+    assert {(r.model, r.y_score, r.threshold) for r in got} == {("forest", 0.0, 0.5), ("logreg", 0.0, 0.5)}
+    assert len(got) == 2 * rows.filter("window_end >= '2020-10-01'").count()
