@@ -8,6 +8,7 @@ from tidewatch.functions.ranks import empirical_cdf, exact_quantiles, expanding_
 from tidewatch.operators import health as H
 from tidewatch.operators import metrics as M
 from tidewatch.operators import splits as SP
+from tidewatch.operators import windows as W
 from tidewatch.sources import inputs as I
 
 
@@ -151,3 +152,20 @@ def test_psi(spark):
     assert psi(moved)["psi"] == pytest.approx(((c - r) * np.log(c / r)).sum()) and psi(moved)["severity"] == "major"
     assert psi(same)["severity"] == "stable" and psi(same[:5])["psi"] is None
     assert psi(moved[:20])["severity"] == "major"
+
+
+def test_feature_constant_in_a_fold_has_scale_one(spark):
+    """It varies before the fold's windows and after its training part, far from the value it keeps there."""
+    days = spark.sql("""SELECT 'A' AS asset, date_add(date'1995-01-01', CAST(id AS INT)) AS date, CASE WHEN id < 40 THEN id / 7D WHEN id < 700 THEN 1D ELSE (id % 3) / 7D END AS y,
+      sin(id) + 1e4 AS x, 0 AS label, id >= 40 AS known FROM range(1200)""")
+    marked = W.mark_windows(days.withColumn("x", F.when(F.col("known"), F.col("x"))), ["x", "y"])
+    got = {(r.fold, r.feature): r for r in SP.fit_scaler(marked, I.FOLDS[:2], ["x", "y"]).collect()}
+    assert (got["fold1_1997", "y"]["mean"], got["fold1_1997", "y"]["scale"]) == (1.0, 1.0)
+    assert got["fold2_1998", "y"]["scale"] > 0.1
+    frame = marked.toPandas()
+    for fold in I.FOLDS[:2]:
+        first = pd.Timestamp(fold["test_start"]).date() - pd.Timedelta(days=S.EMBARGO_DAYS)
+        ends = frame.index[frame["emit"] & (frame["label_end"] < first)]
+        values = np.concatenate([frame["x"].to_numpy()[i - S.LOOKBACK + 1:i + 1] for i in ends])
+        r = got[fold["fold"], "x"]
+        assert (r.n_windows, r["mean"], r["scale"]) == (len(ends), pytest.approx(values.mean(), abs=1e-9), pytest.approx(values.std(), abs=1e-9))

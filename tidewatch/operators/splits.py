@@ -92,20 +92,21 @@ def fit_scaler(marked: DataFrame, folds: list[dict], features: list[str], embarg
 
     Windows overlap, so each panel row is weighted by the number of training
     windows that contain it instead of being repeated. Sums are taken of what is
-    above the feature's mean over all rows, so large levels do not cancel the spread.
+    above the feature's mean over the fold's own rows, so neither large levels nor
+    other folds' values cancel the spread: a feature constant in a fold has scale 1.
     """
-    pivots = marked.agg(F.array(*[F.coalesce(F.avg(F.col(f).cast("double")), F.lit(0.0)) for f in features])).scalar()
-    marked = marked.withColumn("_pivots", pivots)
     weighted = marked.withColumns({
         f"_m{i}": multiplicity(marked, fold_role(f, embargo) == "train") for i, f in enumerate(folds)})
+    pivots = weighted.agg(F.array(*[F.array(*[F.coalesce(F.avg(F.when(F.col(f"_m{i}") > 0, F.col(f).cast("double"))), F.lit(0.0)) for f in features])
+                                    for i in range(len(folds))])).scalar()
+    weighted = weighted.withColumn("_pivots", pivots)
     sizes = F.array(*[F.struct(F.lit(f["fold"]).alias("fold"), F.col(f"_m{i}").alias("copies"),
-                               (F.col("emit") & (fold_role(f, embargo) == "train")).cast("long").alias("own"))
+                               (F.col("emit") & (fold_role(f, embargo) == "train")).cast("long").alias("own"), F.col("_pivots")[i].alias("pivots"))
                       for i, f in enumerate(folds)])
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f).cast("double") - F.col("_pivots")[i]).alias("x"), F.col("_pivots")[i].alias("pivot"))
-                      for i, f in enumerate(features)])
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
     long = (weighted.select(F.explode(F.filter(sizes, lambda s: s["copies"] > 0)).alias("s"), cells.alias("c"))
-            .select("s.fold", "s.copies", "s.own", F.explode("c").alias("c"))
-            .select("fold", "copies", "own", "c.feature", "c.x", "c.pivot"))
+            .select("s.fold", "s.copies", "s.own", "s.pivots", F.posexplode("c").alias("at", "c"))
+            .select("fold", "copies", "own", "c.feature", (F.col("c.x") - F.get("pivots", F.col("at"))).alias("x"), F.get("pivots", F.col("at")).alias("pivot")))
     w, x = F.col("copies"), F.col("x")
     stats = long.groupBy("fold", "feature").agg(
         F.sum("own").alias("n_windows"), F.sum(w).alias("_w"), F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_q"),
