@@ -84,3 +84,19 @@ def test_nothing(spark):
     points = spark.createDataFrame([("A", START)], "asset string, as_of date")
     assert P.nearest_cosine(panel, ["f"], points).count() == 0
     assert P.nearest_mahalanobis(panel.withColumn("f", F.lit(1.0)), ["f"], points).count() == 0
+
+
+def test_cells_constant_up_to_the_point_are_only_centred(spark):
+    """They vary before the first window and after the point; the spread up to it has no rounding left."""
+    rng = np.random.default_rng(5)
+    data = [("A", START + datetime.timedelta(days=d), float(rng.normal()), 1.0 if 5 <= d < 400 else float(d % 3) / 7, None if d < 5 else 0.0) for d in range(600)]
+    panel = spark.createDataFrame(data, "asset string, date date, x double, y double, z double")
+    points = spark.createDataFrame([("A", START + datetime.timedelta(days=d)) for d in (150, 330, 395)], "asset string, as_of date")
+    stored, ends = P.blocks(panel, ["x", "y", "z"], 4)
+    for r in P._queries(stored, P._asked(points, ends), 3, 4).collect():
+        assert r.spread[1::3] == [1.0] * 4 and all(0.5 < v < 1.5 and v != 1.0 for v in r.spread[0::3])
+        assert r["query"][1::3] == pytest.approx(r["mean"][1::3], abs=1e-12)
+    got = {(r.as_of, r["rank"]): (r.date, r.similarity) for r in P.nearest_cosine(panel, ["x", "y", "z"], points, 3, 20, 4).collect()}
+    alone = {(r.as_of, r["rank"]): (r.date, r.similarity) for r in P.nearest_cosine(panel.filter("z IS NOT NULL"), ["x"], points, 3, 20, 4).collect()}
+    assert len(got) == 9 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in alone.items()}
+    assert all(got[k][1] == pytest.approx(alone[k][1], abs=1e-9) for k in got)

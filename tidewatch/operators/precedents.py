@@ -12,7 +12,8 @@ its date; history, and the moments it is scaled by, end at that date.
 * Mahalanobis: X'X of blocks, added up in tiles of ``TILE`` columns, gives each point's covariance; it is ridged, factored once
   per point, and blocks are scored against the factor. The plan is the same for every width.
 
-Sums are taken of what lies above the asset's feature means, so large levels do not cancel the spread. A point without a
+Sums of a cell are taken of what lies above the asset's first window, which every history holds, so neither large levels nor
+values after the point cancel the spread: it errs by n roundings at most, and a constant cell's is exact. A point without a
 complete window, or with none far enough back, has no precedent. A constant cell is only centred.
 """
 
@@ -72,13 +73,26 @@ def _asked(points: DataFrame, ends: DataFrame) -> DataFrame:
 
 def _queries(stored: DataFrame, asked: DataFrame, width: int, lookback: int) -> DataFrame:
     """``asset, as_of, day, block, query, mean, spread`` per point; the spread of a constant cell is 1."""
+    def heads(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for row in range(batch.num_rows):
+                yield pa.RecordBatch.from_pydict({"asset": batch.column("asset").slice(row, 1), "first": pa.array([_windows(batch, row, width, lookback)[1][0]], pa.list_(pa.float64()))})
+
+    def above(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Days, windows above the first one, the first one."""
+        days, x = _windows(batch, row, width, lookback)
+        first = batch.column("first")[row].values.to_numpy()
+        return days, x - first, first
+
     def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for row in range(batch.num_rows):
-                _, x = _windows(batch, row, width, lookback)
+                _, x, _ = above(batch, row)
                 yield pa.RecordBatch.from_pydict({"asset": batch.column("asset").slice(row, 1), "block": batch.column("block").slice(row, 1), "n": pa.array([len(x)], pa.int64()),
                                                   "s": pa.array([x.sum(axis=0)], pa.list_(pa.float64())), "q": pa.array([(x * x).sum(axis=0)], pa.list_(pa.float64()))})
 
+    earliest = stored.groupBy("asset").agg(F.min("block").alias("block"))
+    stored = stored.join(stored.join(earliest, ["asset", "block"]).mapInArrow(heads, "asset string, first array<double>"), "asset")
     before = Window.partitionBy("asset", "pos").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     cells = (stored.mapInArrow(sums, "asset string, block long, n long, s array<double>, q array<double>")
              .select("asset", "block", "n", F.posexplode(F.arrays_zip("s", "q")).alias("pos", "c"))
@@ -91,7 +105,7 @@ def _queries(stored: DataFrame, asked: DataFrame, width: int, lookback: int) ->
     def scaled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for row in range(batch.num_rows):
-                days, x = _windows(batch, row, width, lookback)
+                days, x, first = above(batch, row)
                 n0, s0, q0 = batch.column("n")[row].as_py(), *(batch.column(c)[row].values.to_numpy() for c in ("s", "q"))
                 out = []
                 for point in batch.column("points")[row].as_py():
@@ -99,7 +113,7 @@ def _queries(stored: DataFrame, asked: DataFrame, width: int, lookback: int) ->
                     n = n0 + len(part)
                     mean = (s0 + part.sum(axis=0)) / n
                     spread = np.sqrt(np.maximum((q0 + (part * part).sum(axis=0)) / n - mean * mean, 0.0))
-                    out.append((point["as_of"], point["day"], part[-1], mean, np.where(spread > 1e-12, spread, 1.0)))
+                    out.append((point["as_of"], point["day"], part[-1] + first, mean + first, np.where(spread > 1e-12, spread, 1.0)))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"asset": pa.array([batch.column("asset")[row].as_py()] * len(out)), "as_of": pa.array(columns[0], pa.date32()), "day": pa.array(columns[1], pa.int32()),
                                                   "block": pa.array([batch.column("block")[row].as_py()] * len(out), pa.int64()),
