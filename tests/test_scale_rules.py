@@ -3,16 +3,20 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import settings as S
 from tidewatch.functions import frames as FR
 from tidewatch.functions.canon import json_value
 from tidewatch.operators import contagion as X
 from tidewatch.operators import explain as E
 from tidewatch.operators import metrics as M
 from tidewatch.operators import splits as SP
+from tidewatch.plans import catalog, registry
+from tidewatch.sources import inputs as I
 
 
 def test_smoothing_equals_the_recursion_on_a_long_one_sided_series(spark):
@@ -82,3 +86,22 @@ def test_plans_hold_no_cross_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_attribution_sql_states_the_rules_for_labels_of_one_class(spark):
+    """No label of the larger tables is positive: weights are NULL, profiles and shares 0, and the check SQL says so as well."""
+    con = duckdb.connect()
+    for name in ("lineitem", "supplier", "nation", "region", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.1/{name}.parquet'")
+    assert con.execute(registry.compose("SELECT max(label) FROM c_label")).fetchone() == (0,)
+    sql = catalog.oracles()
+    said = {k: con.execute(sql[k]).fetchall() for k in ("at_ranked", "at_episode_profiles", "at_spearman", "at_stability", "at_top_features")}
+    wide = spark.sql("SELECT 'A' AS asset, date_add(date'1996-04-01', CAST(id AS INT)) AS window_end, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {f}" for f in S.OWN_FEATURES) + " FROM range(1800)")
+    episodes = spark.createDataFrame(I.EPISODES, "episode string, start string, end string").selectExpr("episode", "date(start) AS start", "date(end) AS end")
+    profiles = E.episode_profiles(wide, S.OWN_FEATURES, episodes).cache()
+    plain = lambda df, *c: sorted(tuple(r) for r in registry.present(df).select(*c).collect())
+    assert plain(E.ranked_mean(wide, S.OWN_FEATURES), "scope", "feature", "contribution", "abs_contribution", "share_of_total", "rank") == sorted(said["at_ranked"])
+    assert plain(profiles, "episode", "feature", "value") == sorted((e, f, v) for e, _, f, v in said["at_episode_profiles"])
+    assert plain(E.spearman(profiles), "a", "b", "spearman") == sorted(said["at_spearman"])
+    assert plain(E.stability(E.spearman(profiles)), "stability_index", "n_pairs", "reading") == said["at_stability"] == [(0.0, 6, "LOW")]
+    assert plain(E.top_features(profiles), "episode", "rank", "feature", "mean_abs_attribution", "share_of_total") == sorted(said["at_top_features"])

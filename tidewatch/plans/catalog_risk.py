@@ -71,9 +71,17 @@ for _key, _kind, _src in (("at_linear", "linear", "c_attr"), ("at_grad_input", "
 _un = lambda agg: " UNION ALL ".join(f"SELECT '{f}' AS feature, {agg.format(f)} AS v FROM c_attr" for f in _OWN)
 
 
+# The same with the query's rule for what cannot be divided: a weight is NULL where a side of the correlation is constant.
+cte("c_coef0", "SELECT " + ", ".join(
+    f"covar_pop({f}, CAST(label AS DOUBLE)) FILTER (WHERE {f} IS NOT NULL AND label IS NOT NULL) / nullif(stddev_pop({f}) FILTER (WHERE {f} IS NOT NULL AND label IS NOT NULL)"
+    f" * stddev_pop(label) FILTER (WHERE {f} IS NOT NULL AND label IS NOT NULL), 0) AS c_{f}, avg({f}) AS m_{f}" for f in _OWN) + " FROM c_panel")
+cte("c_attr0", "SELECT asset, window_end, " + ", ".join(f"sum(c_{f} * (t + 1) / 30.0::DOUBLE * ({f} - m_{f})) AS {f}" for f in _OWN)
+    + " FROM c_tensor CROSS JOIN c_coef0 GROUP BY 1, 2")
+
+
 @query("at_ranked", f"""
-SELECT 'mean' AS scope, feature, R6(v) AS contribution, R6(abs(v)) AS abs_contribution, R6(abs(v) / sum(abs(v)) OVER ()) AS share_of_total,
- INT8(row_number() OVER (ORDER BY abs(v) DESC, feature)) AS rank FROM ({_un('avg({0})')})""")
+SELECT 'mean' AS scope, feature, R6(v) AS contribution, R6(abs(v)) AS abs_contribution, R6(coalesce(abs(v) / nullif(sum(abs(v)) OVER (), 0), 0)) AS share_of_total,
+ INT8(row_number() OVER (ORDER BY abs(v) DESC NULLS LAST, feature)) AS rank FROM ({_un('avg({0})').replace('c_attr', 'c_attr0')})""")
 def _(t):
     return E.ranked_mean(E.per_feature(_attribution(t), _OWN), _OWN)
 
@@ -93,11 +101,16 @@ cte("c_prof", "SELECT episode, n, feature, v FROM (SELECT episode, count(*) AS n
     + " FROM c_attr JOIN c_episodes ON window_end BETWEEN s - 45 AND e GROUP BY 1 HAVING count(*) >= 5) UNPIVOT (v FOR feature IN (" + ", ".join(_OWN) + "))")
 
 
+# Profiles by the query's rule: a feature without a contribution counts 0, a total of 0 gives shares of 0.
+cte("c_prof0", "SELECT episode, n, feature, v FROM (SELECT episode, count(*) AS n, " + ", ".join(f"coalesce(avg(abs({f})), 0) AS {f}" for f in _OWN)
+    + " FROM c_attr0 JOIN c_episodes ON window_end BETWEEN s - 45 AND e GROUP BY 1 HAVING count(*) >= 5) UNPIVOT (v FOR feature IN (" + ", ".join(_OWN) + "))")
+
+
 def _profiles(t):
     return staged(E.episode_profiles(E.per_feature(_attribution(t), _OWN), _OWN, t.episodes), "profiles")
 
 
-@query("at_episode_profiles", "SELECT episode, INT8(n) AS n_windows, feature, R6(v) AS value FROM c_prof")
+@query("at_episode_profiles", "SELECT episode, INT8(n) AS n_windows, feature, R6(v) AS value FROM c_prof0")
 def _(t):
     return _profiles(t)
 
@@ -109,7 +122,13 @@ cte("c_spear", "SELECT x.episode AS a, y.episode AS b, corr(x.r, y.r) AS rho, "
     "FROM c_ranks x JOIN c_ranks y ON x.feature = y.feature AND x.episode < y.episode GROUP BY 1, 2")
 
 
-@query("at_spearman", "SELECT a, b, R6(rho) AS spearman FROM c_spear")
+cte("c_ranks0", "SELECT *, rank() OVER (PARTITION BY episode ORDER BY v) + (count(*) OVER (PARTITION BY episode, v) - 1) / 2.0 AS r, "
+    "row_number() OVER (PARTITION BY episode ORDER BY v DESC, feature) AS top, v / coalesce(nullif(sum(v) OVER (PARTITION BY episode), 0), 1) AS share FROM c_prof0")
+cte("c_spear0", "SELECT x.episode AS a, y.episode AS b, coalesce(covar_pop(x.r, y.r) / nullif(stddev_pop(x.r) * stddev_pop(y.r), 0), 0) AS rho "
+    "FROM c_ranks0 x JOIN c_ranks0 y ON x.feature = y.feature AND x.episode < y.episode GROUP BY 1, 2")
+
+
+@query("at_spearman", "SELECT a, b, R6(rho) AS spearman FROM c_spear0")
 def _(t):
     return E.spearman(_profiles(t))
 
@@ -120,8 +139,8 @@ def _(t):
 
 
 @query("at_stability", """
-SELECT R6(avg(rho)) AS stability_index, INT8(count(*)) AS n_pairs, CASE WHEN avg(rho) >= 0.7 THEN 'HIGH' WHEN avg(rho) >= 0.4 THEN 'MODERATE'
- WHEN avg(rho) >= 0 THEN 'LOW' ELSE 'NEGATIVE' END AS reading FROM c_spear""")
+SELECT R6(avg(rho)) AS stability_index, INT8(count(*)) AS n_pairs, CASE WHEN avg(rho) IS NULL THEN 'UNDETERMINED' WHEN avg(rho) >= 0.7 THEN 'HIGH' WHEN avg(rho) >= 0.4 THEN 'MODERATE'
+ WHEN avg(rho) >= 0 THEN 'LOW' ELSE 'NEGATIVE' END AS reading FROM c_spear0""")
 def _(t):
     profiles = _profiles(t)
     E.assert_comparable(profiles)
@@ -129,7 +148,7 @@ def _(t):
 
 
 @query("at_top_features", """
-SELECT episode, INT8(top) AS rank, feature, R6(v) AS mean_abs_attribution, R6(share) AS share_of_total FROM c_ranks WHERE top <= 5""")
+SELECT episode, INT8(top) AS rank, feature, R6(v) AS mean_abs_attribution, R6(share) AS share_of_total FROM c_ranks0 WHERE top <= 5""")
 def _(t):
     return E.top_features(_profiles(t))
 
