@@ -108,3 +108,36 @@ def test_nothing(spark, tmp_path):
     assert codes.coded_rows(spark.createDataFrame([(1, None, 1, "c", 1, "h", "v")], SCHEMA)).count() == 0
     spark.createDataFrame([(i, v, lab, "c", 1, "h", "v") for i, v, lab in some(90, 32)], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES["op13_vector_codes"](spark, str(tmp_path)).dtypes == [("vec_id", "bigint"), ("code", "string"), ("error", "bigint"), ("label_error", "bigint"), ("codebooks_sha256", "string")]
+
+
+def test_a_round_reads_as_many_bounds_as_the_one_before_needed(spark, monkeypatch):
+    """Where entries hardly move, few listed entries are in doubt: the last round reads fewer than the quarter first kept."""
+    made, kept = [], codes.Assign.__init__
+
+    def noted(self, shape, b, *args):
+        kept(self, shape, b, *args)
+        made.append((self.b, *args[2:]))
+
+    monkeypatch.setattr(codes.Assign, "__init__", noted)
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-900, 900, size=(64, 32)) / 2.0
+    rows = [(i, [float(x) for x in centres[i % 64] + rng.normal(size=32) / 100], 1, "c", 1, "h", "v") for i in range(640)]
+    coded, _ = codes.compress(spark.createDataFrame(rows, SCHEMA))
+    assert [m[0] for m in made] == [16, 16, 8] and [m[1] for m in made] == [0, 16, 16]
+    assert coded.columns == ["vec_id", "label", "code", "error"] and coded.count() == 640
+
+
+def test_bounds_beyond_those_read_count_as_one():
+    """No more listed entries are looked at than the round was told to read, and the assignment is that of all distances."""
+    rng = np.random.default_rng(8)
+    points = rng.integers(-200, 200, size=(500, 2, 3))
+    shape = codes.Shape(6, float(abs(points).max()) / 256, 2, 24)
+    before = points[:24].transpose(1, 0, 2).copy()
+    code, _, near, low, outer, _ = codes.Assign(shape, 6, before, None, 0).first(points)
+    book = before + rng.integers(-9, 10, size=before.shape)
+    got = codes.Assign(shape, 2, book, before, 6).again(points, code, near, low, outer)
+    short = codes.Assign(shape, 2, book, before, 6, True).again(points, code, near, low, outer)
+    assert set(np.unique(got[5]).tolist()) <= {0, 1, 2, 24} and got[2].shape == (500, 2, 2) and len(short) == 2
+    for p in range(2):
+        square = ((points[:, p, None] - book[p]) ** 2).sum(axis=2)
+        assert (got[0][:, p] == square.argmin(axis=1)).all() and (short[0][:, p] == got[0][:, p]).all() and (short[1][:, p] == square.min(axis=1)).all()

@@ -10,7 +10,9 @@ distance its entry moved, the outer one by the largest such distance, and stays
 integer distance to the assigned entry; only entries whose bound isn't above it are computed as well, and if not even the
 outer bound is, all of them. Bounds are stored rounded down to a unit that the data's range fixes, and count as above a
 distance only by more than a rounding margin, so that uncertain cases are always decided by integers. ``b`` of the next
-round is the depth that all but one in a hundred parts needed, between an eighth and a quarter of the entries.
+round, up to that many as were kept, is the depth that all but one in a hundred parts needed, between an eighth and a quarter
+of the entries; the first table keeps a quarter. A round reads ``b`` entries of the table before it, the first one left out
+bounding the rest, and keeps as many. The last round gives codes and distances alone.
 
 Only codebooks, sums per entry and the depths' histogram pass the driver: their size depends on the codebooks alone.
 
@@ -92,21 +94,27 @@ def nearest(points: np.ndarray, book: np.ndarray, b: int) -> tuple[np.ndarray, n
 class Assign:
     """Rows of integers with bounds to the same with the entries nearest now."""
 
-    def __init__(self, shape: Shape, b: int, book: np.ndarray, before: np.ndarray | None, held: int) -> None:
-        """``book``: parts x entries x width; ``before``: the codebooks the bounds were made for, ``held`` entries each."""
-        self.shape, self.book, self.held = shape, book, held
+    def __init__(self, shape: Shape, b: int, book: np.ndarray, before: np.ndarray | None, held: int, last: bool = False) -> None:
+        """``book``: parts x entries x width; ``before``: the codebooks the bounds were made for, ``held`` entries each;
+        ``last``: only entries and squared distances are asked for."""
+        self.shape, self.book, self.held, self.last = shape, book, held, last
         self.b = min(b, max(0, book.shape[1] - 1))
         self.moved = None if before is None else np.sqrt(((book - before) ** 2).sum(axis=2).astype(float)) * (1 + 1e-9)
 
     def first(self, points: np.ndarray) -> tuple[np.ndarray, ...]:
         made = [self._packed(*nearest(points[:, p], self.book[p], self.b)) for p in range(self.shape.parts)]
-        return tuple(np.stack(part, axis=1) for part in zip(*made, strict=True)) + (np.full(points.shape[:2], self.book.shape[1], dtype=np.uint8),)
+        depth = () if self.last else (np.full(points.shape[:2], self.book.shape[1], dtype=np.uint8),)
+        return tuple(np.stack(part, axis=1) for part in zip(*made, strict=True)) + depth
 
     def _packed(self, code, square, near, low, outer):
+        if self.last:
+            return code.astype(np.uint8), square
         low, outer = self.shape.stored(low), self.shape.stored(outer)
         return code.astype(np.uint8), square, near.astype(np.uint8), np.minimum(low, outer[:, None]), outer
 
     def again(self, points: np.ndarray, code: np.ndarray, near: np.ndarray, low: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, ...]:
+        if self.b < near.shape[2]:
+            near, low, outer = near[:, :, :self.b], low[:, :, :self.b], low[:, :, self.b]
         made = [self._part(p, points[:, p], code[:, p].astype(np.int64), near[:, p].astype(np.int64), low[:, p], outer[:, p]) for p in range(self.shape.parts)]
         return tuple(np.stack(part, axis=1) for part in zip(*made, strict=True))
 
@@ -134,18 +142,18 @@ class Assign:
         wide = rows[depth == b + 1]
         if len(wide):
             out_code[wide], out_square[wide], out_near[wide], out_low[wide], out_outer[wide] = nearest(points[wide], book, b)
-        # The next table keeps its own number of entries; the first one left out bounds the rest.
-        keep = min(self.b, b)
+        if self.last:
+            return out_code.astype(np.uint8), out_square
         tail = np.concatenate([out_low, out_outer[:, None]], axis=1)
         tail = np.minimum.accumulate(tail[:, ::-1], axis=1)[:, ::-1]
-        out = self._packed(out_code, out_square, out_near[:, :keep], np.maximum(tail[:, :keep], 0.0), np.maximum(tail[:, keep], 0.0))
+        out = self._packed(out_code, out_square, out_near, np.maximum(tail[:, :b], 0.0), np.maximum(tail[:, b], 0.0))
         return (*out, np.where(depth > b, len(book), depth).astype(np.uint8))
 
 
 def _state(kept: DataFrame, shape: Shape, step: Assign, fresh: bool) -> DataFrame:
-    """The table of a round: integers, codes, squared distances, near entries, bounds and depths of all parts."""
+    """The table of a round: codes, squared distances, and before the last integers, near entries, bounds and depths of all parts."""
     fields = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
-    schema = f"vec_id {fields['vec_id']}, label {fields['label']}, ints binary, code binary, error long, near binary, low binary, outer binary, depth binary"
+    schema = f"vec_id {fields['vec_id']}, label {fields['label']}, code binary, error long" + ("" if step.last else ", ints binary, near binary, low binary, outer binary, depth binary")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
@@ -154,15 +162,18 @@ def _state(kept: DataFrame, shape: Shape, step: Assign, fresh: bool) -> DataFram
                 n = batch.num_rows
                 if fresh:
                     points = shape.integers(batch.column("vector"))
-                    code, square, near, low, outer, depth = step.first(points)
+                    code, square, *carried = step.first(points)
                 else:
                     read = lambda name, kind, *size: np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind).reshape(n, shape.parts, *size)
                     points = read("ints", shape.kind, shape.width).astype(np.int64)
-                    code, square, near, low, outer, depth = step.again(points, read("code", "u1"), read("near", "u1", step.held), read("low", "<u2", step.held), read("outer", "<u2"))
+                    code, square, *carried = step.again(points, read("code", "u1"), read("near", "u1", step.held), read("low", "<u2", step.held), read("outer", "<u2"))
                 binary = lambda x: pa.array([row.tobytes() for row in np.ascontiguousarray(x)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("label"), binary(points.astype(shape.kind)), binary(code), pa.array(square.sum(axis=1), pa.int64()), binary(near), binary(low),
-                     binary(outer), binary(depth)], names=["vec_id", "label", "ints", "code", "error", "near", "low", "outer", "depth"])
+                columns = [batch.column("vec_id"), batch.column("label"), binary(code), pa.array(square.sum(axis=1), pa.int64())]
+                names = ["vec_id", "label", "code", "error"]
+                if not step.last:
+                    columns += [binary(points.astype(shape.kind)), *map(binary, carried)]
+                    names += ["ints", "near", "low", "outer", "depth"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return kept.mapInArrow(run, schema)
 
@@ -214,7 +225,7 @@ def compress(vectors: DataFrame, vector: str = "embedding", parts: int = PARTS,
     shape = Shape(dims, largest or 0.0, parts, len(starts))
     book = np.ascontiguousarray(shape.integers(pa.array([r.vector for r in starts], pa.list_(pa.float64()))).transpose(1, 0, 2))
     state = kept
-    step = Assign(shape, entries // 8, book, None, 0)
+    step = Assign(shape, max(1, len(starts) // 4), book, None, 0, rounds == 0)
     for k in range(rounds + 1):
         state = _state(state, shape, step, fresh=k == 0)
         if k == rounds:
@@ -222,7 +233,7 @@ def compress(vectors: DataFrame, vector: str = "embedding", parts: int = PARTS,
         state = staged_small(state, "vector-bounds")
         before, held = book, step.b
         book, b = _moved(state, shape, book)
-        step = Assign(shape, min(b, held), book, before, held)
+        step = Assign(shape, min(b, held), book, before, held, k + 1 == rounds)
     return state.select("vec_id", "label", "code", "error"), book
 
 
