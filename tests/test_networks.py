@@ -149,3 +149,13 @@ def test_walk_forward_takes_models_of_all_folds_at_once(tensor):
 
     tried = np.quantile([s for s, _ in held], ME.CANDIDATE_PROBS)
     assert f1(mine[0].threshold) == pytest.approx(max(map(f1, tried))) and np.abs(tried - mine[0].threshold).min() < 1e-12
+
+
+def test_folds_of_one_class_are_fitted_and_scored(tensor, arrays):
+    """Both weights are 1, as for the other models; the network learns that no window is positive."""
+    negative = tensor.withColumn("label", F.lit(0))
+    assert N.class_weights(N.flagged(negative, FOLDS, 5), 3).tolist()[:2] == [[1.0, 1.0]] * 2
+    got = N.walk_forward(negative, arrays, FOLDS, 5, (5, 4), 40, 0.05).collect()
+    want = N.walk_forward(tensor, arrays, FOLDS, 5, (5, 4), 1).collect()
+    assert {(r.fold, r.window_end) for r in got} == {(r.fold, r.window_end) for r in want} and got
+    assert max(r.y_score for r in got) < 0.3

@@ -97,13 +97,15 @@ def _aside() -> Column:
 
 
 def class_weights(rows: DataFrame, n: int) -> np.ndarray:
-    """Per fold the weights of label 0 and 1, n / (2 n_class); zeros where a class is missing."""
+    """Per fold the weights of label 0 and 1, n / (2 n_class); 1 where a fold has one class only, zeros where it has no windows."""
     counts = rows.agg(*[F.sum(F.when(F.col("train")[i], v)).alias(f"{k}{i}") for i in range(n) for k, v in (("n", F.lit(1.0)), ("p", F.col("label")))]).first()
     out = np.zeros((n, 2))
     for i in range(n):
         total, ones = counts[f"n{i}"] or 0.0, counts[f"p{i}"] or 0.0
         if 0 < ones < total:
             out[i] = total / (2 * (total - ones)), total / (2 * ones)
+        elif total:
+            out[i] = 1.0
     return out
 
 
