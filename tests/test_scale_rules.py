@@ -105,3 +105,12 @@ def test_attribution_sql_states_the_rules_for_labels_of_one_class(spark):
     assert plain(E.spearman(profiles), "a", "b", "spearman") == sorted(said["at_spearman"])
     assert plain(E.stability(E.spearman(profiles)), "stability_index", "n_pairs", "reading") == said["at_stability"] == [(0.0, 6, "LOW")]
     assert plain(E.top_features(profiles), "episode", "rank", "feature", "mean_abs_attribution", "share_of_total") == sorted(said["at_top_features"])
+
+
+def test_correlation_with_a_constant_is_null_however_many_tasks_hold_it(spark):
+    """49 rows of 1 a task: the merged moments of the constant keep a spread of 7e-17."""
+    rows = spark.range(0, 147, 1, 3).selectExpr("1D AS one", "CAST(id % 7 AS DOUBLE) AS x", "CAST(CASE WHEN id % 5 > 0 THEN id % 7 END AS DOUBLE) AS part")
+    assert rows.agg(F.stddev_pop("one")).first()[0] > 0
+    got = rows.agg(FR.pair_corr("one", "x"), FR.pair_corr("x", "one"), FR.pair_corr("one", "one"), FR.pair_corr("x", "part")).first()
+    assert list(got)[:3] == [None] * 3
+    assert got[3] == pytest.approx(1.0)

@@ -49,14 +49,19 @@ def rolling_z(x: Column | str, n: int, *keys: str, order: str = "date") -> Colum
 
 
 def pair_corr(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
-    """Pearson correlation over pair-complete rows, NULL when a side is constant."""
+    """Pearson correlation over pair-complete rows, NULL when a side is constant.
+
+    A group's rows come from several tasks, and merging their moments leaves a constant a spread of rounding noise;
+    there a side is constant if its least value is its greatest. A window takes its rows one by one, without noise.
+    """
     x, y = col(x), col(y)
     both = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(both, x), F.when(both, y)
     parts = [F.covar_pop(xs, ys), F.stddev_pop(xs), F.stddev_pop(ys)]
     if over is not None:
         parts = [p.over(over) for p in parts]
-    return ratio(parts[0], parts[1] * parts[2])
+        return ratio(parts[0], parts[1] * parts[2])
+    return F.when((F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys)), ratio(parts[0], parts[1] * parts[2]))
 
 
 def clip(x: Column, low: float, high: float) -> Column:
