@@ -114,3 +114,26 @@ def test_correlation_with_a_constant_is_null_however_many_tasks_hold_it(spark):
     got = rows.agg(FR.pair_corr("one", "x"), FR.pair_corr("x", "one"), FR.pair_corr("one", "one"), FR.pair_corr("x", "part")).first()
     assert list(got)[:3] == [None] * 3
     assert got[3] == pytest.approx(1.0)
+
+
+@pytest.fixture
+def in_three_tasks(spark):
+    """Joins by shuffle into three tasks that nothing merges."""
+    set_to = {"spark.sql.shuffle.partitions": "3", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _flat(spark, n):
+    return spark.range(n).selectExpr("explode(array('E1', 'E2', 'E3')) AS episode", "concat('f', id) AS feature", "0D AS value")
+
+
+@pytest.mark.parametrize("n", [171, 173])
+def test_profiles_without_a_ranking_have_rank_correlation_0(in_three_tasks, n):
+    """All ranks tied, features in three tasks: 0 by the rule, where noise over noise gave 1."""
+    rows = E.spearman(_flat(in_three_tasks, n)).collect()
+    assert sorted(tuple(r) for r in rows) == [("E1", "E2", 0.0), ("E1", "E3", 0.0), ("E2", "E3", 0.0)]
