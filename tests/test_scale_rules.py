@@ -137,3 +137,9 @@ def test_profiles_without_a_ranking_have_rank_correlation_0(in_three_tasks, n):
     """All ranks tied, features in three tasks: 0 by the rule, where noise over noise gave 1."""
     rows = E.spearman(_flat(in_three_tasks, n)).collect()
     assert sorted(tuple(r) for r in rows) == [("E1", "E2", 0.0), ("E1", "E3", 0.0), ("E2", "E3", 0.0)]
+
+
+@pytest.mark.parametrize("n", [171, 173])
+def test_profiles_without_a_ranking_have_a_low_stability(in_three_tasks, n):
+    """The mean over three pairs is 0, a LOW one; noise over noise made it HIGH."""
+    assert tuple(E.stability(E.spearman(_flat(in_three_tasks, n))).first()) == (0.0, 3, "LOW")
