@@ -143,3 +143,25 @@ def test_profiles_without_a_ranking_have_rank_correlation_0(in_three_tasks, n):
 def test_profiles_without_a_ranking_have_a_low_stability(in_three_tasks, n):
     """The mean over three pairs is 0, a LOW one; noise over noise made it HIGH."""
     assert tuple(E.stability(E.spearman(_flat(in_three_tasks, n))).first()) == (0.0, 3, "LOW")
+
+
+def _spearman_sql(con, rows):
+    """What the check SQL says on given profiles."""
+    con.execute("CREATE OR REPLACE TABLE c_prof0 (episode VARCHAR, feature VARCHAR, v DOUBLE)")
+    con.executemany("INSERT INTO c_prof0 VALUES (?, ?, ?)", rows)
+    for name in ("c_steps0", "c_stepranks0", "c_spear0"):
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS {registry.CTES[name]}")
+    return sorted(con.execute(registry._expand(registry.ORACLES["at_spearman"])).fetchall())
+
+
+@pytest.mark.parametrize("second, rho", [
+    ({"a": 0.3, "b": 0.1 + 0.2, "c": 1.0, "d": 0.05, "e": 0.0}, 1.0),        # a and b tie, whichever sum is the larger by rounding
+    ({"a": 0.3, "b": 0.3, "c": 1.0, "d": 0.05, "e": 2e-17}, 1.0),
+    ({"a": 0.3, "b": 0.3, "c": 1.0, "d": 1e-17, "e": 0.0}, 0.973329),        # d is no more than e's noise
+    ({"a": 0.3, "b": 0.3, "c": 1.0, "d": 1e-9, "e": 0.0}, 1.0),              # small, but no noise
+    ({"a": 0.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": 0.0}, 0.0),
+])
+def test_profile_values_apart_by_rounding_noise_share_a_rank(spark, second, rho):
+    rows = [("E1", f, v) for f, v in {"a": 0.1 + 0.2, "b": 0.3, "c": 1.0, "d": 0.05, "e": 0.0}.items()] + [("E2", f, v) for f, v in second.items()]
+    got = registry.present(E.spearman(spark.createDataFrame(rows, "episode string, feature string, value double"))).collect()
+    assert [tuple(r) for r in got] == [("E1", "E2", rho)] == _spearman_sql(duckdb.connect(), rows)

@@ -11,6 +11,8 @@ from tidewatch.functions.frames import pair_corr, ratio
 from tidewatch.operators.panel import episode_days, require_empty
 
 KEY = ["asset", "window_end"]
+#: Profile values are ranked in steps of one part in so many of their episode's largest.
+RANK_STEPS = 1e10
 
 
 def linear(tensor: DataFrame, coef: Column, background: Column) -> DataFrame:
@@ -104,10 +106,16 @@ def assert_comparable(profiles: DataFrame) -> None:
 
 
 def spearman(profiles: DataFrame) -> DataFrame:
-    """Rank correlation of the feature profiles for each pair of episodes; ties share their mean rank."""
+    """Rank correlation of the feature profiles for each pair of episodes; ties share their mean rank.
+
+    A value is a mean over many windows, whose rounding noise depends on the order of its sums. Values tie if they fall
+    into the same step, a share of the episode's largest value far above that noise.
+    """
     by = Window.partitionBy("episode")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("episode", "value"))
-    r = profiles.select("episode", "feature", (F.rank().over(by.orderBy("value")) + (ties - 1) / 2.0).alias("r"))
+    step = F.floor(F.coalesce(ratio("value", F.max("value").over(by)), F.lit(0.0)) * RANK_STEPS + 0.5)
+    steps = profiles.select("episode", "feature", step.alias("step"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("episode", "step"))
+    r = steps.select("episode", "feature", (F.rank().over(by.orderBy("step")) + (ties - 1) / 2.0).alias("r"))
     a = r.select(F.col("episode").alias("a"), "feature", F.col("r").alias("ra"))
     b = r.select(F.col("episode").alias("b"), "feature", F.col("r").alias("rb"))
     return (a.join(b, "feature").filter("a < b").groupBy("a", "b")

@@ -124,8 +124,11 @@ cte("c_spear", "SELECT x.episode AS a, y.episode AS b, corr(x.r, y.r) AS rho, "
 
 cte("c_ranks0", "SELECT *, rank() OVER (PARTITION BY episode ORDER BY v) + (count(*) OVER (PARTITION BY episode, v) - 1) / 2.0 AS r, "
     "row_number() OVER (PARTITION BY episode ORDER BY v DESC, feature) AS top, v / coalesce(nullif(sum(v) OVER (PARTITION BY episode), 0), 1) AS share FROM c_prof0")
-cte("c_spear0", "SELECT x.episode AS a, y.episode AS b, coalesce(covar_pop(x.r, y.r) / nullif(stddev_pop(x.r) * stddev_pop(y.r), 0), 0) AS rho "
-    "FROM c_ranks0 x JOIN c_ranks0 y ON x.feature = y.feature AND x.episode < y.episode GROUP BY 1, 2")
+# Rank correlations by the query's rule: values tie within a step, and a side without a ranking has correlation 0.
+cte("c_steps0", f"SELECT episode, feature, floor(coalesce(v / nullif(max(v) OVER (PARTITION BY episode), 0), 0) * {E.RANK_STEPS}::DOUBLE + 0.5) AS step FROM c_prof0")
+cte("c_stepranks0", "SELECT episode, feature, rank() OVER (PARTITION BY episode ORDER BY step) + (count(*) OVER (PARTITION BY episode, step) - 1) / 2.0 AS r FROM c_steps0")
+cte("c_spear0", "SELECT x.episode AS a, y.episode AS b, CASE WHEN min(x.r) < max(x.r) AND min(y.r) < max(y.r) THEN covar_pop(x.r, y.r) / (stddev_pop(x.r) * stddev_pop(y.r)) ELSE 0 END AS rho "
+    "FROM c_stepranks0 x JOIN c_stepranks0 y ON x.feature = y.feature AND x.episode < y.episode GROUP BY 1, 2")
 
 
 @query("at_spearman", "SELECT a, b, R6(rho) AS spearman FROM c_spear0")
