@@ -165,3 +165,16 @@ def test_profile_values_apart_by_rounding_noise_share_a_rank(spark, second, rho)
     rows = [("E1", f, v) for f, v in {"a": 0.1 + 0.2, "b": 0.3, "c": 1.0, "d": 0.05, "e": 0.0}.items()] + [("E2", f, v) for f, v in second.items()]
     got = registry.present(E.spearman(spark.createDataFrame(rows, "episode string, feature string, value double"))).collect()
     assert [tuple(r) for r in got] == [("E1", "E2", rho)] == _spearman_sql(duckdb.connect(), rows)
+
+
+@pytest.mark.parametrize("pairs, index, reading", [
+    ([-0.1, -0.2, 0.3], 0.0, "LOW"), ([0.3, -0.2, -0.1], 0.0, "LOW"), ([0.1 + 0.2 - 0.3, 0.0], 0.0, "LOW"),
+    ([0.6, 0.1, 0.5], 0.4, "MODERATE"), ([0.5, 0.1, 0.6], 0.4, "MODERATE"), ([0.9, 0.8, 0.4], 0.7, "HIGH"), ([0.4, 0.8, 0.9], 0.7, "HIGH"),
+    ([-0.1, -0.2, 0.2999], -0.000033, "NEGATIVE"),
+])
+def test_stability_at_a_cut_point_reads_alike_in_any_order_of_pairs(spark, pairs, index, reading):
+    got = registry.present(E.stability(spark.createDataFrame([(x,) for x in pairs], "spearman double").coalesce(1))).first()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE c_spear0 (rho DOUBLE)")
+    con.executemany("INSERT INTO c_spear0 VALUES (?)", [(x,) for x in pairs])
+    assert tuple(got) == (index, len(pairs), reading) == con.execute(registry._expand(registry.ORACLES["at_stability"])).fetchone()

@@ -141,8 +141,12 @@ def topk_jaccard(profiles: DataFrame, k: int = 5) -> DataFrame:
 
 
 def stability(pairs: DataFrame) -> DataFrame:
-    """Mean pairwise rank correlation and its reading; the cut points are fixed beforehand."""
+    """Mean pairwise rank correlation and its reading; the cut points are fixed beforehand.
+
+    The mean is taken to 12 places, so that one which is a cut point reads alike in whatever order the pairs are added.
+    """
     s = F.col("stability_index")
-    return (pairs.agg(F.avg("spearman").alias("stability_index"), F.count(F.lit(1)).alias("n_pairs"))
+    mean = F.floor(F.avg("spearman") * 1e12 + 0.5) / 1e12
+    return (pairs.agg(mean.alias("stability_index"), F.count(F.lit(1)).alias("n_pairs"))
             .withColumn("reading", F.when(s.isNull(), "UNDETERMINED").when(s >= 0.7, "HIGH").when(s >= 0.4, "MODERATE")
                         .when(s >= 0.0, "LOW").otherwise("NEGATIVE")))

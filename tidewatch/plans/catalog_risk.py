@@ -142,8 +142,8 @@ def _(t):
 
 
 @query("at_stability", """
-SELECT R6(avg(rho)) AS stability_index, INT8(count(*)) AS n_pairs, CASE WHEN avg(rho) IS NULL THEN 'UNDETERMINED' WHEN avg(rho) >= 0.7 THEN 'HIGH' WHEN avg(rho) >= 0.4 THEN 'MODERATE'
- WHEN avg(rho) >= 0 THEN 'LOW' ELSE 'NEGATIVE' END AS reading FROM c_spear0""")
+SELECT R6(s) AS stability_index, INT8(n) AS n_pairs, CASE WHEN s IS NULL THEN 'UNDETERMINED' WHEN s >= 0.7 THEN 'HIGH' WHEN s >= 0.4 THEN 'MODERATE'
+ WHEN s >= 0 THEN 'LOW' ELSE 'NEGATIVE' END AS reading FROM (SELECT floor(avg(rho) * 1e12 + 0.5) / 1e12 AS s, count(*) AS n FROM c_spear0)""")
 def _(t):
     profiles = _profiles(t)
     E.assert_comparable(profiles)
