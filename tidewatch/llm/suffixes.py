@@ -96,11 +96,11 @@ def _doubled(names: np.ndarray) -> np.ndarray:
     n, step = len(names), 1
     rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
     while True:
-        following = np.full(n, -1, dtype=np.int64)
-        following[:max(0, n - step)] = rank[step:]
-        order = np.lexsort((following, rank))
-        r, f = rank[order], following[order]
-        fresh = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (f[1:] != f[:-1]))])
+        pair = rank * (n + 1)                                  # rank and following rank (none: 0) as one number
+        pair[:max(0, n - step)] += rank[step:] + 1
+        order = np.argsort(pair)
+        sorted_ = pair[order]
+        fresh = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
         rank = np.empty(n, dtype=np.int64)
         rank[order] = fresh
         if fresh[-1] == n - 1:
